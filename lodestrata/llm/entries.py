@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix
+from . import decontaminate, mix, substring
 
 QUERIES = {
+    "op1_substring_dedup": substring.query,
     "op2_mix_sources": mix.query,
     "op6_decontaminate": decontaminate.query,
 }
 
 SQL = {
+    "op1_substring_dedup": substring.SQL,
     "op2_mix_sources": mix.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
