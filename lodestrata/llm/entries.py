@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix, substring
+from . import decontaminate, mix, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_mix_sources": mix.query,
     "op6_decontaminate": decontaminate.query,
+    "op8_simhash": simhash.query,
 }
 
 SQL = {
