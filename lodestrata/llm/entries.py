@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix, simhash, substring
+from . import decontaminate, mix, secrets, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_mix_sources": mix.query,
+    "op4_secrets": secrets.query,
     "op6_decontaminate": decontaminate.query,
     "op8_simhash": simhash.query,
+    "op9_warc": warc.query,
 }
 
 SQL = {
     "op1_substring_dedup": substring.SQL,
     "op2_mix_sources": mix.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op9_warc": warc.SQL,
 }
