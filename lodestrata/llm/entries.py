@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix, secrets, simhash, substring, warc
+from . import decontaminate, html_text, mix, secrets, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_mix_sources": mix.query,
     "op4_secrets": secrets.query,
+    "op5_html_text": html_text.query,
     "op6_decontaminate": decontaminate.query,
     "op8_simhash": simhash.query,
     "op9_warc": warc.query,
