@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, mix, secrets, simhash, substring, warc
+from . import decontaminate, html_text, knn, mix, secrets, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
     "op2_mix_sources": mix.query,
+    "op3_knn": knn.query,
     "op4_secrets": secrets.query,
     "op5_html_text": html_text.query,
     "op6_decontaminate": decontaminate.query,
@@ -17,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_substring_dedup": substring.SQL,
     "op2_mix_sources": mix.SQL,
+    "op3_knn": knn.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
 }
