@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, knn, mix, secrets, simhash, substring, warc
+from . import decontaminate, html_text, knn, mix, quality, secrets, simhash, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.query,
     "op5_html_text": html_text.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_quality": quality.query,
     "op8_simhash": simhash.query,
     "op9_warc": warc.query,
 }
