@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so that few rows keep a worker's memory small.
 ARROW_ROWS = 500
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS = 2000
 _written: dict[str, list[str]] = {}
 
 
@@ -46,10 +48,16 @@ def drop_tables(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of ARROW_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow in batches that a worker of little memory can hold: batches of many rows come in slices of `rows`."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
 
 
 def text_key(text: Column) -> Column:

@@ -65,19 +65,40 @@ def _with_sources(docs: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     return docs.join(F.broadcast(right) if few else right, docs["source"].eqNullSafe(right["__source"])).drop("__source")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, taken (words) and times (how often the mix has the document)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    d = table(d, "mix-sizes").withColumn("h", _hash(F.col("doc_id")))
-    sources = table(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
+def thresholds(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3) -> tuple[DataFrame, bool]:
+    """source, source_size, target, full (whole takes), above (the hash below which a document is taken once more) of a table (source, size, h); whether the sources are few."""
+    sources = table(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
     few = sources.count() <= BROADCAST_SOURCES
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     cut = sources.withColumn("full", whole).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("above", F.lit(0).cast("long"))
     for level in range(1, LEVELS + 1):
-        cut = table(_refine(d, cut, level, few), f"mix-level{level}")
-    taken = _with_sources(d, cut, few)
-    times = F.col("full") + F.when(F.col("h") < F.col("above"), 1).otherwise(0)
-    return taken.select("doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * times).alias("taken"), times.alias("times"))
+        cut = table(_refine(sizes, cut, level, few), f"mix-level{level}")
+    return cut, few
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    return table(d, "mix-sizes").withColumn("h", _hash(F.col("doc_id")))
+
+
+_TIMES = F.col("full") + F.when(F.col("h") < F.col("above"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source, source_size, target, taken (words) and times (how often the mix has the document)."""
+    d = _sizes(docs, id_col, text_col, source_col)
+    taken = _with_sources(d, *thresholds(d, weights, most))
+    return taken.select("doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * _TIMES).alias("taken"), _TIMES.alias("times"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents that the mix has, with all their columns and mix_times, how often (in place of a column of that name). With few sources nothing of a document's size is shuffled."""
+    cut, few = thresholds(_sizes(docs, id_col, text_col, source_col), weights, most)
+    cut = cut.select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("above").alias("__above"))
+    j = docs.join(F.broadcast(cut) if few else cut, docs[source_col].eqNullSafe(F.col("__source")))
+    times = (F.col("__full") + F.when(_hash(F.col(id_col)) < F.col("__above"), 1).otherwise(0)).cast("long")
+    kept = j.withColumn("mix_times", times).drop("__source", "__full", "__above")
+    return kept.where(F.col("mix_times") > 0)
 
 
 def _refine(d: DataFrame, cut: DataFrame, level: int, few: bool) -> DataFrame:

@@ -6,13 +6,15 @@ removed; windows are judged on the input.
 
 Pass 1 counts all windows in a count-min sketch (sketch.py). Pass 2 sends on only windows
 whose estimate is 2 or more, as 128-bit digests of their words. Rows of one digest that a
-task finds together travel as one row, so that a passage in a third of all documents is
-as many rows as there are batches. They meet sorted by digest and smallest id, so each
-group is read as a stream: its first row holds the smallest id.
+task finds together, if more than PACK, travel as one row, so that a passage in a third
+of all documents is as many rows as there are batches. They meet sorted by digest and
+smallest id, so each group is read as a stream: its first row holds the smallest id. Only
+the documents that lose a word are shuffled with their text to be joined to what they lose.
 
 Defined cases: a null or empty text has no words and keeps nothing; a document of fewer
 than `n` words keeps all; rows of equal id are judged alike, each by its own text, and
-never remove each other's words; a null id counts as larger than any; an empty table
+never remove each other's words; a null id counts as larger than any
+(as does 2**63 - 1, which comes back as null); an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -28,16 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling, sketch
-from .common import arrow_map, read, text_key
+from .common import arrow_map, read, table, text_key
 
 #: Bytes of a window assumed per word when the sketch is sized; only its size depends on it.
 WORD_BYTES = 7
 #: Candidates that a task holds before it groups and sends them.
 FLUSH = 500_000
+#: Rows of one window, found in one flush, beyond which they travel as one row.
+PACK = 8
+#: Rows of windows that are compared at once.
+WIDE_ROWS = 50_000
 #: Words of a text that are hashed at once.
 BLOCK = 1 << 18
-_PACK = np.dtype([("doc_id", "<i8"), ("key", "<i4"), ("null", "<i4"), ("pos", "<i4")])
-_MOST = 2**63 - 1
+_ROW = np.dtype([("doc_id", "<i8"), ("key", "<i4"), ("pos", "<i4")])
+#: Stands for a null id.
+_LAST = 2**63 - 1
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -55,8 +62,8 @@ def _blocks(words: list[bytes], n: int) -> Iterator[tuple[int, bytes, np.ndarray
         yield at, joined, starts[: len(part) - n + 1], stops[n - 1 :]
 
 
-def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space)."""
+def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with_kept, kept (the words that stay, joined by a space)."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = d.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -73,15 +80,23 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
         digests, rows, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+            h = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+            h1, h2 = h[:, 0].copy().view(np.int64), h[:, 1].astype(np.uint32).view(np.int32)
             r = np.concatenate(rows)
-            order = np.lexsort((r["doc_id"], h[:, 1], h[:, 0]))
-            h, r = h[order], r[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)]))
-            raw, width = r.tobytes(), _PACK.itemsize
-            stops = np.append(first[1:], len(r))
-            packed = [raw[s * width : e * width] for s, e in zip(first.tolist(), stops.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(h[first, 0].view(np.int64)), pa.array(h[first, 1].view(np.int64)), pa.array(r["doc_id"][first]), pa.array(packed, pa.binary())], names=["h1", "h2", "least", "rows"])
+            order = np.lexsort((r["doc_id"], h2, h1))
+            s1, s2 = h1[order], h2[order]
+            first = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]))
+            counts = np.diff(np.append(first, len(order)))
+            packed: dict[int, bytes] = {}
+            alone = np.ones(len(order), bool)
+            for at, n in zip(first[counts > PACK].tolist(), counts[counts > PACK].tolist(), strict=True):
+                members = order[at : at + n]
+                alone[members] = False
+                packed[int(members[0])] = r[members].tobytes()
+            sent = np.flatnonzero(alone)
+            more = [None] * len(sent) + list(packed.values())
+            sent = np.concatenate([sent, np.fromiter(packed, np.int64, len(packed))])
+            return pa.RecordBatch.from_arrays([pa.array(h1[sent]), pa.array(h2[sent]), *(pa.array(r[c][sent]) for c in ("doc_id", "key", "pos")), pa.array(more, pa.binary())], names=["h1", "h2", "doc_id", "key", "pos", "more"])
 
         for b in batches:
             for doc_id, text, key in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("key").to_pylist(), strict=True):
@@ -90,8 +105,8 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
                     if not len(found):
                         continue
                     digests += [xxhash.xxh3_128_digest(joined[s:e]) for s, e in zip(starts[found].tolist(), stops[found].tolist(), strict=True)]
-                    r = np.zeros(len(found), _PACK)
-                    r["doc_id"], r["key"], r["null"], r["pos"] = _MOST if doc_id is None else doc_id, key, doc_id is None, found + at
+                    r = np.zeros(len(found), _ROW)
+                    r["doc_id"], r["key"], r["pos"] = _LAST if doc_id is None else doc_id, key, found + at
                     rows.append(r)
                     size += len(found)
                     if size >= FLUSH:
@@ -101,57 +116,73 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
             yield flush()
 
     def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Where a window starts that a document with a smaller id has too."""
+        """Where a window starts that a document with a smaller id has too. The rows come by window and smallest id."""
         last, least = None, 0
         for b in batches:
-            found = []
-            for h1, h2, low, rows in zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), b.column("least").to_pylist(), b.column("rows"), strict=True):
-                if (h1, h2) != last:
-                    last, least = (h1, h2), low
-                rows = rows.as_buffer()
-                if rows.size == _PACK.itemsize and low <= least:
-                    continue
-                r = np.frombuffer(rows, _PACK)
-                r = r[r["doc_id"] > least]
-                if len(r):
-                    found.append(r)
-            if found:
-                r = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"], mask=r["null"] == 1), pa.array(r["key"]), pa.array(r["pos"])], names=["doc_id", "key", "pos"])
+            if not b.num_rows:
+                continue
+            h1, h2, doc, key, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            new = np.concatenate([[(int(h1[0]), int(h2[0])) != last], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            lows = np.concatenate([[least], doc[new]])[np.cumsum(new)]
+            last, least = (int(h1[-1]), int(h2[-1])), int(lows[-1])
+            gone = [np.empty(0, _ROW)]
+            for i in np.flatnonzero(b.column("more").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                r = np.frombuffer(b.column("more")[i].as_buffer(), _ROW)
+                gone.append(r[r["doc_id"] > lows[i]])
+            alone = (doc > lows) & b.column("more").is_null().to_numpy(zero_copy_only=False)
+            r = np.concatenate(gone)
+            out = [np.concatenate([x[alone], r[c]]) for x, c in ((doc, "doc_id"), (key, "key"), (pos, "pos"))]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], mask=out[0] == _LAST), pa.array(out[1]), pa.array(out[2])], names=["doc_id", "key", "pos"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = arrow_map(keyed, candidates, "h1 long, h2 long, least long, rows binary").repartition(tasks, "h1", "h2").sortWithinPartitions("h1", "h2", "least")
-    removed = arrow_map(grouped, later, "doc_id long, key int, pos int").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))
-    removed = removed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "pos")
-    joined = keyed.join(removed, keyed["doc_id"].eqNullSafe(removed["__id"]) & keyed["key"].eqNullSafe(removed["__key"]), "left").select("doc_id", "text", "pos")
+    grouped = arrow_map(keyed, candidates, "h1 long, h2 int, doc_id long, key int, pos int, more binary").repartition(tasks, "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
+    removed = arrow_map(grouped, later, "doc_id long, key int, pos int", WIDE_ROWS).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))
+    removed = table(removed, "substring-removed")
+
+    # Documents without a removed word, told by a bit for each of the others, need no shuffle of their text.
+    row_hash = F.xxhash64("doc_id", "key").alias("h")
+    some = sketch.repeated(removed.select(row_hash), lambda b: iter([np.repeat(rolling.mixed(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), 2)]), sketch.cells_for(removed.count()))
+
+    def result(text: str | None, starts: np.ndarray | None) -> tuple:
+        words = _words(text)
+        left = words
+        if starts is not None:
+            cover = np.zeros(len(words) + 1, np.int32)
+            cover[starts] += 1
+            cover[starts + n] -= 1
+            left = [w for w, c in zip(words, np.cumsum(cover)[:-1].tolist(), strict=True) if not c]
+        kept = b" ".join(left)
+        return len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_kept else None
+
+    fields = (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = some(rolling.mixed(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))) if b.num_rows else np.zeros(0, bool)
+            rows = [(None,) * 4 if wait else result(t.as_py(), None) for t, wait in zip(b.column("text"), held.tolist(), strict=True)]
+            text = pa.array([t.as_py() if wait else None for t, wait in zip(b.column("text"), held.tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)), text], names=["doc_id", "key", *(f for f, _ in fields), "text"])
+
+    results = "n_words long, n_removed long, kept_sha256 string, kept string"
+    first = table(arrow_map(keyed.select("doc_id", "key", "text", row_hash), whole, f"doc_id long, key int, {results}, text string"), "substring-whole")
+    names = ["doc_id", *(f for f, _ in fields)]
+    r = removed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "pos")
+    waiting = first.where("n_words is null").select("doc_id", "key", "text")
+    joined = waiting.join(r, waiting["doc_id"].eqNullSafe(r["__id"]) & waiting["key"].eqNullSafe(r["__key"]), "left").select("doc_id", "text", "pos")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, gone, digest, kept = [], [], [], []
-            for text, pos in zip(b.column("text"), b.column("pos"), strict=True):
-                words = _words(text.as_py())
-                if pos.is_valid:
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    at = pos.values.to_numpy(zero_copy_only=False)
-                    cover[at] += 1
-                    cover[at + n] -= 1
-                    stays = np.cumsum(cover)[:-1] == 0
-                    left = b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s])
-                    gone.append(len(words) - int(stays.sum()))
-                else:
-                    left = b" ".join(words)
-                    gone.append(0)
-                counts.append(len(words))
-                digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return arrow_map(joined, apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+            rows = [result(t.as_py(), p.values.to_numpy(zero_copy_only=False) if p.is_valid else None) for t, p in zip(b.column("text"), b.column("pos"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields))], names=names)
+
+    out = first.where("n_words is not null").select(*names).unionByName(arrow_map(joined, apply, f"doc_id long, {results}"))
+    return out if with_kept else out.drop("kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: windows of 13 words, one row per document."""
-    return dedup(read(spark, sf_dir, "documents")).drop("kept")
+    return dedup(read(spark, sf_dir, "documents"), with_kept=False)
 
 
 SQL = r"""
