@@ -81,14 +81,15 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return table(d, "mix-sizes").withColumn("h", _hash(F.col("doc_id")))
 
 
-_TIMES = F.col("full") + F.when(F.col("h") < F.col("above"), 1).otherwise(0)
+def _times() -> Column:
+    return F.col("full") + F.when(F.col("h") < F.col("above"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source, source_size, target, taken (words) and times (how often the mix has the document)."""
     d = _sizes(docs, id_col, text_col, source_col)
     taken = _with_sources(d, *thresholds(d, weights, most))
-    return taken.select("doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * _TIMES).alias("taken"), _TIMES.alias("times"))
+    return taken.select("doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * _times()).alias("taken"), _times().alias("times"))
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
