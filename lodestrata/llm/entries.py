@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, knn, mix, quality, secrets, simhash, substring, warc
+from . import decontaminate, html_text, knn, mix, quality, secrets, simhash, substring, suffix, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_simhash": simhash.query,
     "op9_warc": warc.query,
+    "op10_suffix_dedup": suffix.query,
 }
 
 SQL = {
