@@ -4,6 +4,7 @@
    anchor, so equal strings have equal anchors at equal places. A count-min sketch
    (sketch.py) tells which anchors may occur twice; only what surrounds those can hold a
    repeated string.
+   (Of periodic text only the ends need anchors; the rest is known to repeat.)
 2. Regions. Around such an anchor stand all strings that contain it. Regions of equal
    bytes are counted and travel once.
 3. Shards. The regions of an anchor meet in a shard. There a suffix array is built by
@@ -53,12 +54,18 @@ def _sliding(a: np.ndarray, width: int, fn) -> np.ndarray:
     return fn(a[: len(a) - (width - size)], a[width - size :]) if size < width else a
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the anchors of texts start that lie one after another in raw, each up to its end, and their hashes. Grams across an end are none."""
+def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Where the anchors of texts start that lie one after another in raw, each up to its end; their hashes; and the periodic runs found. Grams across an end are none.
+
+    In a run of period d < gram each period has an anchor. If the run holds `length` + d
+    bytes, every string within it occurs again d bytes on or back, and a string that
+    reaches beyond it has the run's first or last anchor at the same place as its equals:
+    so the run is given by itself and the anchors between are left out.
+    """
     n = len(raw) - gram + 1
     width = length - gram + 1
     if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
     at = np.arange(n)
     h = rolling.spans(raw, at, at + gram)
     for e in ends.tolist():
@@ -66,20 +73,45 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     least = _sliding(h, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
     chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h) & (h != ~np.uint64(0)))
-    return chosen, h[chosen]
-
-
-def _texts(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of texts: (row, bytes) of each, and of each anchor the text's number, its place there and its hash. Texts shorter than `length` are left out."""
+    h = h[chosen]
+    order = np.lexsort((chosen, h))
+    p = chosen[order]
+    gap = np.where((h[order][1:] == h[order][:-1]) & (np.diff(p) < gram), np.diff(p), 0)
+    # runs of equal gaps, of two gaps or more
+    heads = np.flatnonzero((gap > 0) & (np.concatenate([[0], gap[:-1]]) != gap))
+    tails = np.flatnonzero((gap > 0) & (np.concatenate([gap[1:], [0]]) != gap)) + 1
+    stays, runs = np.ones(len(p), bool), []
+    for i, j in zip(heads.tolist(), tails.tolist(), strict=True):
+        d, first, last = int(gap[i]), int(p[i]), int(p[j])
+        if j - i < 2 or last + gram - first + 2 * d < length + d:
+            continue
+        k = int(np.searchsorted(ends, first, side="right"))
+        low, high = int(ends[k - 1]) if k else 0, int(ends[k]) if k < len(ends) else len(raw)
+        start, stop = first, last + gram
+        while start > low and raw[start - 1] == raw[start - 1 + d]:
+            start -= 1
+        while stop < high and raw[stop] == raw[stop - d]:
+            stop += 1
+        if stop - start >= length + d:
+            runs.append((start, stop))
+            stays[i + 1 : j] = False
+    left = np.sort(order[stays])
+    return chosen[left], h[left], runs
+
+
+def _texts(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple]:
+    """Blocks of texts: (row, bytes) of each; of each anchor the text's number, its place there and its hash; and the runs (text's number, start, stop). Texts shorter than `length` are left out."""
     held: list[tuple[int, bytes]] = []
     size = 0
 
     def block() -> tuple:
         raw = np.frombuffer(b"".join(t for _, t in held), np.uint8)
         ends = np.cumsum([len(t) for _, t in held])
-        at, h = anchors(raw, ends[:-1], length, gram)
+        starts = np.concatenate([[0], ends[:-1]])
+        at, h, runs = anchors(raw, ends[:-1], length, gram)
         text = np.searchsorted(ends, at, side="right")
-        return held, text, at - np.concatenate([[0], ends[:-1]])[text], h
+        of_run = [int(np.searchsorted(ends, s, side="right")) for s, _ in runs]
+        return held, text, at - starts[text], h, [(n, s - int(starts[n]), e - int(starts[n])) for n, (s, e) in zip(of_run, runs, strict=True)]
 
     for row, t in enumerate(batch.column("text")):
         t = t.as_py()
@@ -89,9 +121,9 @@ def _texts(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[list
         if len(t) > BLOCK:  # in pieces: an anchor belongs to the piece in which it starts, judged with `length` bytes around it
             for at in range(0, len(t), BLOCK):
                 low = max(0, at - length)
-                p, h = anchors(np.frombuffer(t, np.uint8)[low : at + BLOCK + length], np.zeros(0, np.int64), length, gram)
+                p, h, runs = anchors(np.frombuffer(t, np.uint8)[low : at + BLOCK + length], np.zeros(0, np.int64), length, gram)
                 own = (p + low >= at) & (p + low < at + BLOCK)
-                yield [(row, t)], np.zeros(int(own.sum()), np.int64), p[own] + low, h[own]
+                yield [(row, t)], np.zeros(int(own.sum()), np.int64), p[own] + low, h[own], [(0, s + low, e + low) for s, e in runs]
             continue
         held.append((row, t))
         size += len(t)
@@ -219,7 +251,7 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, _, h in _texts(batch, length, gram):
+        for _, _, _, h, _ in _texts(batch, length, gram):
             yield h
 
     repeats = sketch.repeated(d.select("text"), hashes, sketch.cells_for(size // ANCHOR_BYTES))
@@ -228,21 +260,26 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     def surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column("doc_id").to_pylist(), b.column("key").to_pylist()
-            for held, text, at, h in _texts(b, length, gram):
+            for held, text, at, h, runs in _texts(b, length, gram):
                 found = np.flatnonzero(repeats(h))
-                if not len(found):
-                    continue
-                out: list[list] = [[] for _ in range(6)]
-                for n, p in zip(text[found].tolist(), at[found].tolist(), strict=True):
+                out: list[list] = [[] for _ in range(7)]
+                for n, p, a in zip(text[found].tolist(), at[found].tolist(), h[found].view(np.int64).tolist(), strict=True):
                     row, raw = held[n]
                     low = max(0, p - reach)
                     region = raw[low : p + length]
-                    for values, x in zip(out, (ids[row], keys[row], low, p - low, xxhash.xxh3_128_digest(region), region), strict=True):
+                    for values, x in zip(out, (ids[row], keys[row], low, p - low, xxhash.xxh3_128_digest(region), region, a), strict=True):
+                        values.append(x)
+                for n, start, stop in runs:
+                    row = held[n][0]
+                    for values, x in zip(out, (ids[row], keys[row], start, stop, None, None, None), strict=True):
                         values.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)), pa.array(h[found].view(np.int64))], names=["doc_id", "key", "low", "off", "rd", "region", "a"])
+                if out[0]:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["doc_id", "key", "low", "off", "rd", "region", "a"])
 
-    w = table(arrow_map(keyed, surroundings, "doc_id long, key int, low long, off int, rd binary, region binary, a long"), "suffix-regions")
+    # a region, with its anchor `off` bytes behind `low`; or, without an anchor, a run from `low` to `off`
+    found = table(arrow_map(keyed, surroundings, "doc_id long, key int, low int, off int, rd binary, region binary, a long"), "suffix-regions")
+    w = found.where("a is not null")
     g = w.groupBy("a", "rd", "off").agg(F.count("*").alias("n"), F.first("region").alias("region"))
     g = table(g, "suffix-distinct")
     hot = table(g.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > SHARD_REGIONS).select("a", F.ceil(F.col("m") / SHARD_REGIONS).cast("int").alias("shards")), "suffix-hot")
@@ -325,6 +362,8 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     spans = spans.groupBy("a", "rd", "off").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     places = w.select("doc_id", "key", "low", "a", "rd", "off").join(spans, ["a", "rd", "off"])
     ends = F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("low"))))
+    whole = found.where("a is null").select("doc_id", "key", F.lit(0).alias("low"), F.array("low", "off").alias("spans"))
+    places = places.select("doc_id", "key", "low", "spans").unionByName(whole)
     removed = table(places.groupBy("doc_id", "key").agg(ends.alias("lost")), "suffix-removed")
 
     def result(text: str | None, lost: np.ndarray | None) -> tuple:

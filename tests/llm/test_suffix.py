@@ -31,7 +31,7 @@ def corpus(seed, n=60):
     for _ in range(n):
         parts = [passages[int(rng.integers(6))] if rng.random() < 0.5 else "".join(rng.choice(list("abcdefgh "), int(rng.integers(1, 60)))) for _ in range(int(rng.integers(1, 5)))]
         texts.append("".join(parts))
-    return texts + [None, "", "a" * 100, "a" * 39, texts[0], texts[0], "ab" * 60]
+    return texts + [None, "", "a" * 100, "a" * 39, texts[0], texts[0], "ab" * 60, "x" + "abc" * 30 + "yz" + "abc" * 40, "q" * 45 + "abc" * 25, "hello " * 20 + texts[1], texts[2] + "hello " * 30 + "z", "ello hello hello hello hello hello hello hello h"]
 
 
 @pytest.mark.parametrize(("shard", "block"), [(1024, 1 << 20), (3, 200)])
