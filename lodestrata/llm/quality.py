@@ -118,7 +118,8 @@ def probabilities(c: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """
     levels = [c]
     for k in range(ORDER - 1, 0, -1):  # a lower order counts the different symbols before a gram
-        levels.append(levels[-1].groupBy("model", F.col("g").bitwiseAND(F.lit((1 << 6 * k) - 1)).alias("g")).agg(F.count("*").alias("n")))
+        shorter_counts = levels[-1].groupBy("model", F.col("g").bitwiseAND(F.lit((1 << 6 * k) - 1)).alias("g")).agg(F.count("*").alias("n"))
+        levels.append(table(shorter_counts, f"quality-n{k}"))
     levels.reverse()
     shorter: DataFrame | None = None
     contexts = []
@@ -138,10 +139,8 @@ def probabilities(c: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             s = shorter.select("model", F.col("g").alias("tail"), F.col("p").alias("q"))
             p = own.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << 6 * (k - 1)) - 1))).join(s, ["model", "tail"]).withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
         shorter = p.select("model", "g", "p", "n")
-        if k == ORDER:
-            shorter = table(shorter, "quality-p4")
-            ctx = table(ctx.select("model", "ctx", "gamma"), "quality-g4")
-        contexts.append((ctx.select("model", "ctx", "gamma"), shorter))
+        shorter = table(shorter, f"quality-p{k}")
+        contexts.append((table(ctx.select("model", "ctx", "gamma"), f"quality-g{k}"), shorter))
     return shorter, contexts
 
 
@@ -161,27 +160,42 @@ class Model:
         return lang if lang in self.parts else ALL
 
     def dense(self, name: str) -> np.ndarray:
-        """-log2 p of every n-gram, in UNITs; at most four models at a time."""
+        """-log2 p of every n-gram, in UNITs; at most five models at a time."""
         if name not in self._dense:
-            if len(self._dense) >= 4:
+            if len(self._dense) >= 5:
                 self._dense.pop(next(iter(self._dense)))
             p = np.full(1, 1 / 64, np.float32)
             for k, (ctx, gamma, g, own) in enumerate(self.parts[name], 1):
-                g_of = np.ones(64 ** (k - 1), np.float32)
-                g_of[ctx] = gamma
-                below = np.tile(p, 64) if k == 1 else np.tile(p, 64)
-                p = below * np.repeat(g_of, 64)
+                of = np.ones(64 ** (k - 1), np.float32)
+                of[ctx] = gamma
+                p = (of.reshape(-1, max(1, 64 ** (k - 2)), 1) * p.reshape(1, -1, 64 if k > 1 else 1)).ravel() if k > 1 else np.repeat(of * p, 64)
                 p[g] = own
-            self._dense[name] = np.minimum(np.rint(-np.log2(p, out=p) * UNIT), 32767).astype(np.int16)
+            out = np.empty(len(p), np.int16)
+            for at in range(0, len(p), 1 << 20):
+                out[at : at + (1 << 20)] = np.minimum(np.rint(-np.log2(p[at : at + (1 << 20)]) * UNIT), 32767)
+            self._dense[name] = out
         return self._dense[name]
 
-    def score(self, text: str | None, lang: str | None) -> tuple[str, int, int]:
-        """The model's name, the number of symbols, and the score in UNITs."""
-        name = self.name(lang)
-        g = grams(text)
-        if not len(g):
-            return name, 0, 0
-        return name, len(g), int(round((int(self.dense(name)[g].sum(dtype=np.int64)) + PRIOR * self.mean[name]) / (len(g) + PRIOR)))
+    def scores(self, texts: list[str | None], langs: list[str | None]) -> list[tuple[str, int, int]]:
+        """For each text the model's name, the number of symbols, and the score in UNITs. Texts of a model are scored together."""
+        out: list = [None] * len(texts)
+        names = [self.name(x) for x in langs]
+        for i in sorted(range(len(texts)), key=names.__getitem__):
+            g = grams(texts[i])
+            bits = int(self.dense(names[i])[g].sum(dtype=np.int64)) if len(g) else 0
+            out[i] = names[i], len(g), int(round((bits + PRIOR * self.mean[names[i]]) / (len(g) + PRIOR))) if len(g) else 0
+        return out
+
+
+def _by_model(df: DataFrame, columns: tuple[str, ...]) -> dict[str, list[np.ndarray]]:
+    """The columns as arrays for each model. The n-grams of MOST_MODELS models are all that comes to the driver."""
+    t = df.select("model", *columns).toArrow().combine_chunks()
+    if not t.num_rows:
+        return {}
+    names = t.column("model").combine_chunks().dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    data = [t.column(c).to_numpy() for c in columns]
+    return {name: [d[codes == i] for d in data] for i, name in enumerate(names.dictionary.to_pylist())}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -191,24 +205,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     c = table(counts(trust), "quality-models")
     _, levels = probabilities(c)
     parts: dict[str, list] = {}
+    mean = {}
     for ctx, p in levels:
-        a, b = ctx.toPandas(), p.toPandas()
-        for name in b["model"].unique().tolist():
-            x, y = a[a["model"] == name], b[b["model"] == name]
-            parts.setdefault(name, []).append((x["ctx"].to_numpy(np.int64), x["gamma"].to_numpy(np.float32), y["g"].to_numpy(np.int64), y["p"].to_numpy(np.float32), y["n"].to_numpy(np.int64)))
+        x, y = _by_model(ctx, ("ctx", "gamma")), _by_model(p, ("g", "p", "n"))
+        for name, (g, prob, n) in y.items():
+            own = x[name]
+            parts.setdefault(name, []).append((own[0].astype(np.int32), own[1].astype(np.float32), g.astype(np.int32), prob.astype(np.float32)))
+            mean[name] = float((n * -np.log2(prob)).sum() / n.sum() * UNIT)  # in the end that of the highest order
     if not parts:
         return None
-    model = Model({name: [level[:4] for level in levels] for name, levels in parts.items()})
-    for name, of in parts.items():
-        n = of[-1][4]
-        model.mean[name] = float((n * model.dense(name)[of[-1][2]].astype(np.int64)).sum() / n.sum())
-    model._dense.clear()
+    model = Model(parts)
+    model.mean = mean
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [shared.value.score(t.as_py(), lang) for t, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True)]
-            rows = [r for r in rows if r[1]]
+            rows = [r for r in shared.value.scores(b.column("text").to_pylist(), b.column("lang").to_pylist()) if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["model", "bin"])
 
     by = Window.partitionBy("model").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -228,14 +240,12 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), id_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            rows = []
-            for t, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                if model is None:
-                    n = len((t.as_py() or "").encode("utf-8", "surrogatepass"))
-                    rows.append((n, None, None, n > 0))
-                    continue
-                name, n, s = model.score(t.as_py(), lang)
-                rows.append((n, 2 ** (s / UNIT) if n else None, 2 ** (model.limit[name] / UNIT), n > 0 and s <= model.limit[name]))
+            texts = b.column("text").to_pylist()
+            if model is None:
+                sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                rows = [(n, None, None, n > 0) for n in sizes]
+            else:
+                rows = [(n, 2 ** (x / UNIT) if n else None, 2 ** (model.limit[name] / UNIT), n > 0 and x <= model.limit[name]) for name, n, x in model.scores(texts, b.column("lang").to_pylist())]
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep"])
 
@@ -252,13 +262,11 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", lang
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            good = []
-            for t, lang in zip(b.column(t_at), b.column(l_at).to_pylist(), strict=True):
-                if model is None:
-                    good.append(bool(t.as_py()))
-                else:
-                    name, n, s = model.score(t.as_py(), lang)
-                    good.append(n > 0 and s <= model.limit[name])
+            texts = b.column(t_at).to_pylist()
+            if model is None:
+                good = [bool(t) for t in texts]
+            else:
+                good = [n > 0 and x <= model.limit[name] for name, n, x in model.scores(texts, b.column(l_at).to_pylist())]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)
