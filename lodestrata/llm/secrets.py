@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE_R
 
 #: Characters of a training document; what is scanned is always the whole text.
 SAMPLE_CHARS = 4000
-BITS = 0.6
+BITS = 0.3
 
 
 def _scanner(spark, table: np.ndarray, bits: float):
