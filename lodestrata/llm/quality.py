@@ -35,7 +35,7 @@ from . import rolling, sketch
 from .common import arrow_map, read, table
 
 MOST_MODELS = 16
-QUANTILE, SLACK = 0.999, 1.02
+QUANTILE, SLACK = 0.999, 1.05
 PRIOR = 64
 #: Bins of a bit in scores and stored probabilities.
 UNIT = 1024
