@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import lines, search
+from ..plans import regex
+from .search import lines
 
 MODULE = "<module>"
 
 
+def _before() -> Window:
+    return Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def line_offsets(files: DataFrame) -> DataFrame:
     """doc_id, line_number, byte_offset of each line's start: a running sum of bytes and newlines."""
-    w = Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
     sizes = lines(files).select("doc_id", "line_number", F.octet_length("line").alias("bytes"))
-    return sizes.select("doc_id", "line_number", F.coalesce(F.sum(F.col("bytes") + 1).over(w), F.lit(0)).alias("byte_offset"))
+    return sizes.select("doc_id", "line_number", F.coalesce(F.sum(F.col("bytes") + 1).over(_before()), F.lit(0)).alias("byte_offset"))
 
 
 def enclose(points: DataFrame, symbols: DataFrame, at: str, key: list[str]) -> DataFrame:
@@ -31,11 +37,19 @@ def enclose(points: DataFrame, symbols: DataFrame, at: str, key: list[str]) -> D
 
 
 def matches_in_symbols(files: DataFrame, symbols: DataFrame, pattern: str) -> DataFrame:
-    """Each matching line with the symbol around its start."""
-    found = search(files, pattern).select("doc_id", "path", "line_number", "line")
-    touched = files.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    at = line_offsets(touched)
-    return enclose(found.join(at, ["doc_id", "line_number"]), symbols, "byte_offset", ["doc_id", "path", "line_number"])
+    """Each matching line with the symbol around its start.
+
+    One pass over the texts: those without a match are left out by the pattern on the whole
+    text, and of the others' lines only sizes, and the matching lines, meet per file.
+    """
+    java = regex.to_java(pattern)
+    if not re.search(r"\\[AzZ]", pattern):  # these mean the line's ends below, and the text's here
+        files = files.where(F.col("text").rlike(java.replace("(?dU)", "(?dUm)", 1)))
+    hit = F.col("line").rlike(java)
+    cut = lines(files).select("doc_id", "path", "line_number", F.octet_length("line").alias("bytes"), F.when(hit, F.col("line")).alias("line"))
+    at = F.coalesce(F.sum(F.col("bytes") + 1).over(_before()), F.lit(0)).alias("byte_offset")
+    found = cut.select("doc_id", "path", "line_number", "line", at).where("line is not null")
+    return enclose(found, symbols, "byte_offset", ["doc_id", "path", "line_number"])
 
 
 def structural_search(files: DataFrame, symbols: DataFrame, pattern: str, with_body: bool = False) -> DataFrame:
