@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,29 +87,30 @@ def _window_hash(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The benchmark in lists of at most SLICE_WORDS words (or one item), each sent to the executors by itself."""
-    out: list[list[tuple]] = [[]]
+def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The benchmark in lists of at most SLICE_WORDS words (or one item), one after another: the driver holds no more than two."""
+    out: list[tuple] = []
     held = 0
     for r in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         size = len(words_of(r[1]))
         if held and held + size > SLICE_WORDS:
-            out.append([])
-            held = 0
-        out[-1].append((r[0], r[1]))
+            yield out
+            out, held = [], 0
+        out.append((r[0], r[1]))
         held += size
-    return out
+    yield out
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = (), doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: the columns `keep`, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and `spans`, the hit words as [first, last + 1) pairs.
 
     The scan is one map over the documents without a shuffle. A benchmark of more than
-    SLICE_WORDS words is broadcast in slices, within one pass over the documents for each;
-    the passes meet in a union that is merged per document.
+    SLICE_WORDS words is broadcast slice by slice, with a pass over the documents for each,
+    whose written results are merged per document.
     """
     spark = docs.sparkSession
     slices = _slices(benchmark, item_col, text_col)
+    first, second = next(slices), next(slices, None)
     id_type = docs.schema[doc_col].dataType.simpleString()
     rest = [c for c in keep if c not in (doc_col, text_col)]
     plain = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
@@ -116,7 +118,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
     schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>" + (", text string" if text_col in keep else "") + (f", {kept}" if kept else "")
     with_text = text_col in keep
 
-    def scanner(items: list[tuple]):
+    def scanner(items: list[tuple], with_key: bool = False):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,21 +136,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
                 if with_text:
                     arrays.append(b.column("text"))
                     names.append("text")
+                if with_key:
+                    arrays.append(b.column("key"))
+                    names.append("key")
                 yield pa.RecordBatch.from_arrays([*arrays, *(b.column(c) for c in rest)], names=[*names, *rest])
 
         return run
 
-    if len(slices) == 1:
-        return arrow_map(plain, scanner(slices[0]), schema).drop("items")
+    if second is None:
+        return arrow_map(plain, scanner(first), schema).drop("items")
     if keep:
         raise ValueError("keep needs a benchmark of one slice; join the report to the documents instead")
-    keyed = plain.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("key", text_key(F.col("text")))
-    keyed = table(keyed, "decontaminate-docs")
+    # rows of equal id and other texts stay apart; equal rows give equal results and are counted
     parts = None
-    for items in slices:
-        part = arrow_map(keyed.select("doc_id", "text"), scanner(items), schema)
+    for items in chain((first, second), slices):
+        with_key = plain.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+        part = arrow_map(with_key, scanner(items, with_key=True), schema + ", key int")
+        part = table(part, "decontaminate-slice")
         parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    slices_of = parts.groupBy("doc_id", "n_words", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    times = plain.groupBy("doc_id", text_key(F.col("text")).alias("key")).agg(F.count("*").alias("times"))
+    times = times.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "times")
+    same = slices_of["doc_id"].eqNullSafe(times["__id"]) & (slices_of["key"] == times["__key"])
+    merged = slices_of.join(times, same).select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
     def join_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

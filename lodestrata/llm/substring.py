@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import rolling, sketch
 from .common import arrow_map, read, table, text_key
+from .removal import finish
 
 #: Bytes of a window assumed per word when the sketch is sized; only its size depends on it.
 WORD_BYTES = 7
@@ -137,47 +138,34 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = arrow_map(keyed, candidates, "h1 long, h2 int, doc_id long, key int, pos int, more binary").repartition(tasks, "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
-    removed = arrow_map(grouped, later, "doc_id long, key int, pos int", WIDE_ROWS).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))
-    removed = table(removed, "substring-removed")
+    starts = arrow_map(grouped, later, "doc_id long, key int, pos int", WIDE_ROWS).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))
 
-    # Documents without a removed word, told by a bit for each of the others, need no shuffle of their text.
-    row_hash = F.xxhash64("doc_id", "key").alias("h")
-    some = sketch.repeated(removed.select(row_hash), lambda b: iter([np.repeat(rolling.mixed(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), 2)]), sketch.cells_for(removed.count()))
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words that go, as [start, end) in turn: a few numbers where the windows are many."""
+        for b in batches:
+            lost = [_runs(np.sort(p.values.to_numpy(zero_copy_only=False)), n) for p in b.column("pos")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(lost, pa.list_(pa.int32()))], names=["doc_id", "key", "lost"])
+
+    removed = table(arrow_map(starts, runs, "doc_id long, key int, lost array<int>"), "substring-removed")
 
-    def result(text: str | None, starts: np.ndarray | None) -> tuple:
+    def result(text: str | None, lost: np.ndarray | None) -> tuple:
         words = _words(text)
         left = words
-        if starts is not None:
-            cover = np.zeros(len(words) + 1, np.int32)
-            cover[starts] += 1
-            cover[starts + n] -= 1
-            left = [w for w, c in zip(words, np.cumsum(cover)[:-1].tolist(), strict=True) if not c]
+        if lost is not None:
+            at = [0, *lost.tolist(), len(words)]
+            left = [w for s, e in zip(at[::2], at[1::2], strict=True) for w in words[s:e]]
         kept = b" ".join(left)
-        return len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_kept else None
+        out = len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest()
+        return (*out, kept.decode("utf-8", "surrogatepass")) if with_kept else out
 
-    fields = (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()))
+    fields = (("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), *([("kept", pa.string(), "string")] if with_kept else []))
+    return finish(keyed, removed, result, fields)
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = some(rolling.mixed(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))) if b.num_rows else np.zeros(0, bool)
-            rows = [(None,) * 4 if wait else result(t.as_py(), None) for t, wait in zip(b.column("text"), held.tolist(), strict=True)]
-            text = pa.array([t.as_py() if wait else None for t, wait in zip(b.column("text"), held.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)), text], names=["doc_id", "key", *(f for f, _ in fields), "text"])
-
-    results = "n_words long, n_removed long, kept_sha256 string, kept string"
-    first = table(arrow_map(keyed.select("doc_id", "key", "text", row_hash), whole, f"doc_id long, key int, {results}, text string"), "substring-whole")
-    names = ["doc_id", *(f for f, _ in fields)]
-    r = removed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "pos")
-    waiting = first.where("n_words is null").select("doc_id", "key", "text")
-    joined = waiting.join(r, waiting["doc_id"].eqNullSafe(r["__id"]) & waiting["key"].eqNullSafe(r["__key"]), "left").select("doc_id", "text", "pos")
-
-    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [result(t.as_py(), p.values.to_numpy(zero_copy_only=False) if p.is_valid else None) for t, p in zip(b.column("text"), b.column("pos"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields))], names=names)
 
-    out = first.where("n_words is not null").select(*names).unionByName(arrow_map(joined, apply, f"doc_id long, {results}"))
-    return out if with_kept else out.drop("kept")
+def _runs(starts: np.ndarray, n: int) -> np.ndarray:
+    """The union of [s, s + n) for ascending starts."""
+    cut = np.flatnonzero(np.diff(starts) > n)
+    return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)] + n], axis=1).ravel().astype(np.int32)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
