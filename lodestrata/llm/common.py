@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so that few rows keep a worker's memory small.
 ARROW_ROWS = 500
-#: Rows that Spark hands to Python at once.
-BATCH_ROWS = 2000
+#: Rows, and bytes, that Spark hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 _written: dict[str, list[str]] = {}
 
 
@@ -51,6 +51,7 @@ def drop_tables(spark: SparkSession) -> None:
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ARROW_ROWS) -> DataFrame:
     """mapInArrow in batches that a worker of little memory can hold: batches of many rows come in slices of `rows`."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
