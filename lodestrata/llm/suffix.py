@@ -4,7 +4,7 @@
    anchor, so equal strings have equal anchors at equal places. A count-min sketch
    (sketch.py) tells which anchors may occur twice; only what surrounds those can hold a
    repeated string.
-   (Of periodic text only the ends need anchors; the rest is known to repeat.)
+   (Of periodic text the first two anchors and the last are enough; it is known to repeat.)
 2. Regions. Around such an anchor stand all strings that contain it. Regions of equal
    bytes are counted and travel once.
 3. Shards. The regions of an anchor meet in a shard. There a suffix array is built by
@@ -59,8 +59,11 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
 
     In a run of period d < gram each period has an anchor. If the run holds `length` + d
     bytes, every string within it occurs again d bytes on or back, and a string that
-    reaches beyond it has the run's first or last anchor at the same place as its equals:
-    so the run is given by itself and the anchors between are left out.
+    reaches beyond it has the run's first or last anchor at the same place as its equals.
+    A string within it may also stand in a shorter stretch elsewhere, which is no run: of
+    each phase one starts among the run's first d bytes, and the first anchor in it, less
+    than d bytes on, is the run's first or second. So the run is given by itself, and the
+    anchors between the second and the last are left out.
     """
     n = len(raw) - gram + 1
     width = length - gram + 1
@@ -94,7 +97,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
             stop += 1
         if stop - start >= length + d:
             runs.append((start, stop))
-            stays[i + 1 : j] = False
+            stays[i + 2 : j] = False
     left = np.sort(order[stays])
     return chosen[left], h[left], runs
 

@@ -80,3 +80,17 @@ def test_rows_of_one_id_and_empty(spark):
     df = spark.createDataFrame([(1, long), (1, "short"), (None, long), (2, "x" + long[:500])], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix.dedup(df).collect())
     assert got == [(0, len(long), len(long)), (1, 5, 0), (1, len(long), len(long)), (2, 501, 500)]
+
+
+def test_short_stretches_of_a_run_elsewhere(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n))
+    texts = []
+    for i in range(60):
+        d = int(rng.integers(2, 20))
+        period = "".join(rng.choice(list("abcdefgh"), d - 1)) + "z"
+        at, to = (int(x) for x in rng.integers(0, d, 2))
+        texts += [text(9) + (period * 60)[at : at + 40 + d + int(rng.integers(0, 2 * d))] + text(9), text(9) + (period * 60)[to : to + 40 + i % d] + text(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(df, length=40).collect()}
+    assert got == dict(enumerate(slow(texts, 40)))
