@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, text_key
+from .common import arrow_map, table
 
 #: Words of the benchmark beyond which the n-gram set isn't broadcast whole but in slices.
 SLICE_WORDS = 2_000_000
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
 
     The scan is one map over the documents without a shuffle. A benchmark of more than
     SLICE_WORDS words is broadcast slice by slice, with a pass over the documents for each,
-    whose written results are merged per document.
+    whose written results are merged per document and, for `keep`, joined to the documents.
     """
     spark = docs.sparkSession
     slices = _slices(benchmark, item_col, text_col)
@@ -115,7 +115,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
     rest = [c for c in keep if c not in (doc_col, text_col)]
     plain = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>" + (", text string" if text_col in keep else "") + (f", {kept}" if kept else "")
+    report = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>"
+    schema = report + (", text string" if text_col in keep else "") + (f", {kept}" if kept else "")
     with_text = text_col in keep
 
     def scanner(items: list[tuple], with_key: bool = False):
@@ -133,32 +134,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
                         cols[k].append(v)
                 arrays = [b.column("doc_id"), pa.array(cols["n_words"], pa.int64()), pa.array(cols["n_hit"], pa.int64()), pa.array(cols["n_items"], pa.int64()), pa.array(cols["items_sha256"], pa.string()), pa.array(cols["contaminated"], pa.bool_()), pa.array(cols["spans"], pa.list_(pa.int32())), pa.array(cols["items"], pa.list_(pa.string()))]
                 names = ["doc_id", *cols]
-                if with_text:
-                    arrays.append(b.column("text"))
-                    names.append("text")
-                if with_key:
-                    arrays.append(b.column("key"))
-                    names.append("key")
-                yield pa.RecordBatch.from_arrays([*arrays, *(b.column(c) for c in rest)], names=[*names, *rest])
+                more = ["key"] if with_key else [*(["text"] if with_text else []), *rest]
+                yield pa.RecordBatch.from_arrays([*arrays, *(b.column(c) for c in more)], names=[*names, *more])
 
         return run
 
     if second is None:
         return arrow_map(plain, scanner(first), schema).drop("items")
-    if keep:
-        raise ValueError("keep needs a benchmark of one slice; join the report to the documents instead")
     # rows of equal id and other texts stay apart; equal rows give equal results and are counted
     parts = None
     for items in chain((first, second), slices):
-        with_key = plain.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-        part = arrow_map(with_key, scanner(items, with_key=True), schema + ", key int")
+        with_key = plain.select("doc_id", "text", F.xxhash64("text").alias("key"))
+        part = arrow_map(with_key, scanner(items, with_key=True), report + ", key long")
         part = table(part, "decontaminate-slice")
         parts = part if parts is None else parts.unionByName(part)
     slices_of = parts.groupBy("doc_id", "n_words", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    times = plain.groupBy("doc_id", text_key(F.col("text")).alias("key")).agg(F.count("*").alias("times"))
-    times = times.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "times")
-    same = slices_of["doc_id"].eqNullSafe(times["__id"]) & (slices_of["key"] == times["__key"])
-    merged = slices_of.join(times, same).select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+    if not keep:
+        times = plain.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count("*").alias("times"))
+        times = times.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "times")
+        same = slices_of["doc_id"].eqNullSafe(times["__id"]) & (slices_of["key"] == times["__key"])
+        merged = slices_of.join(times, same).select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
     def join_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,10 +163,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
                 for s, e in zip(r["spans"][::2], r["spans"][1::2], strict=True):
                     hit[s:e] = True
                 rows.append({"doc_id": r["doc_id"], **summary(r["n_words"], hit, set(r["items"]))})
+                if keep:
+                    rows[-1]["key"] = r["key"]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", b.schema.field("doc_id").type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
-
-    return arrow_map(merged, join_up, schema).drop("items")
+                fields = [("doc_id", b.schema.field("doc_id").type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields + ([("key", pa.int64())] if keep else [])))
+
+    if not keep:
+        return arrow_map(merged, join_up, report).drop("items")
+    found = arrow_map(slices_of, join_up, report + ", key long").drop("items").withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    own = plain.withColumn("__own", F.xxhash64("text"))
+    joined = own.join(found, own["doc_id"].eqNullSafe(found["__id"]) & (own["__own"] == found["__key"]))
+    return joined.select("doc_id", *found.columns[1:-1], *(["text"] if with_text else []), *rest)
 
 
 def summary(n_words: int, hit: np.ndarray, found: set[str]) -> dict:

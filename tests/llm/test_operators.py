@@ -247,6 +247,19 @@ def test_decontamination(spark, monkeypatch, slice_words):
     assert decontaminate.scan(df.limit(0), bench).count() == 0
 
 
+def test_removal_with_a_benchmark_of_several_slices(spark, monkeypatch):
+    items = [(1, "The quick-brown fox jumps"), (2, "ab, CD"), (10, "over the lazy dog"), (3, None)]
+    rows = [(1, "see THE Quick brown fox jumps; over the lazy dog, ab cd"), (2, "ab cd ab"), (2, "ab cd ab"), (2, "of the same id"), (None, "no id"), (None, "no id ab cd"), (None, None), (5, "the lazy dog"), (6, "")]
+    df = spark.createDataFrame([(i, t, f"key{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, key string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = [sorted(map(repr, f(df, bench, n=4).collect())) for f in (decontaminate.drop_contaminated, decontaminate.remove_spans)]
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 4)
+    for n, f in enumerate((decontaminate.drop_contaminated, decontaminate.remove_spans)):
+        assert sorted(map(repr, f(df, bench, n=4).collect())) == whole[n]
+    assert [r.key for r in decontaminate.drop_contaminated(df, bench, n=4).orderBy("key").collect()] == ["key3", "key4", "key6", "key7", "key8"]
+    assert sorted(r.n_removed for r in decontaminate.remove_spans(df, bench, n=4).collect()) == [0, 0, 0, 0, 0, 2, 2, 2, 11]
+
+
 # --- 7
 
 
