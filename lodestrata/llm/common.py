@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,9 +19,11 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset (a single machine, as in tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset and all run in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -61,9 +64,18 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
 
 
-def text_key(text: Column) -> Column:
-    """Tells rows of equal id but other texts apart; equal rows share it."""
-    return F.hash(text)
+#: The columns of text_keys.
+KEYS = ("key", "key2")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits, as KEYS, that tell rows of equal id but other texts apart; equal rows share them."""
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2")]
+
+
+def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id", prefix: str = "__") -> Column:
+    """That a row of left has the id and the text of a row of right, whose columns begin with `prefix`. Null ids equal each other."""
+    return left[id_col].eqNullSafe(right[f"{prefix}id"]) & (left["key"] == right[f"{prefix}key"]) & (left["key2"] == right[f"{prefix}key2"])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

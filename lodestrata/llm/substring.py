@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling, sketch
-from .common import arrow_map, read, table, text_key
+from .common import KEYS, arrow_map, read, table, text_keys
 from .removal import finish
 
 #: Bytes of a window assumed per word when the sketch is sized; only its size depends on it.
@@ -43,7 +43,7 @@ PACK = 8
 WIDE_ROWS = 50_000
 #: Words of a text that are hashed at once.
 BLOCK = 1 << 18
-_ROW = np.dtype([("doc_id", "<i8"), ("key", "<i4"), ("pos", "<i4")])
+_ROW = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("key2", "<i8"), ("pos", "<i4")])
 #: Stands for a null id.
 _LAST = 2**63 - 1
 
@@ -75,7 +75,7 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
                 yield np.unique(rolling.spans(joined, starts, stops))
 
     repeats = sketch.repeated(d.select("text"), hashes, sketch.cells_for(size // WORD_BYTES))
-    keyed = d.withColumn("key", text_key(F.col("text")))
+    keyed = d.select("*", *text_keys(F.col("text")))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, rows, size = [], [], 0
@@ -97,17 +97,17 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
             sent = np.flatnonzero(alone)
             more = [None] * len(sent) + list(packed.values())
             sent = np.concatenate([sent, np.fromiter(packed, np.int64, len(packed))])
-            return pa.RecordBatch.from_arrays([pa.array(h1[sent]), pa.array(h2[sent]), *(pa.array(r[c][sent]) for c in ("doc_id", "key", "pos")), pa.array(more, pa.binary())], names=["h1", "h2", "doc_id", "key", "pos", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(h1[sent]), pa.array(h2[sent]), *(pa.array(r[c][sent]) for c in _ROW.names), pa.array(more, pa.binary())], names=["h1", "h2", *_ROW.names, "more"])
 
         for b in batches:
-            for doc_id, text, key in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("key").to_pylist(), strict=True):
+            for doc_id, text, *keys in zip(b.column("doc_id").to_pylist(), b.column("text"), *(b.column(k).to_pylist() for k in KEYS), strict=True):
                 for at, joined, starts, stops in _blocks(_words(text.as_py()), n):
                     found = np.flatnonzero(repeats(rolling.spans(joined, starts, stops)))
                     if not len(found):
                         continue
                     digests += [xxhash.xxh3_128_digest(joined[s:e]) for s, e in zip(starts[found].tolist(), stops[found].tolist(), strict=True)]
                     r = np.zeros(len(found), _ROW)
-                    r["doc_id"], r["key"], r["pos"] = _LAST if doc_id is None else doc_id, key, found + at
+                    r["doc_id"], (r["key"], r["key2"]), r["pos"] = _LAST if doc_id is None else doc_id, keys, found + at
                     rows.append(r)
                     size += len(found)
                     if size >= FLUSH:
@@ -122,7 +122,7 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
         for b in batches:
             if not b.num_rows:
                 continue
-            h1, h2, doc, key, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            h1, h2, doc, *keys, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             new = np.concatenate([[(int(h1[0]), int(h2[0])) != last], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             lows = np.concatenate([[least], doc[new]])[np.cumsum(new)]
             last, least = (int(h1[-1]), int(h2[-1])), int(lows[-1])
@@ -132,21 +132,21 @@ def dedup(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str =
                 gone.append(r[r["doc_id"] > lows[i]])
             alone = (doc > lows) & b.column("more").is_null().to_numpy(zero_copy_only=False)
             r = np.concatenate(gone)
-            out = [np.concatenate([x[alone], r[c]]) for x, c in ((doc, "doc_id"), (key, "key"), (pos, "pos"))]
+            out = [np.concatenate([x[alone], r[c]]) for x, c in zip((doc, *keys, pos), _ROW.names, strict=True)]
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], mask=out[0] == _LAST), pa.array(out[1]), pa.array(out[2])], names=["doc_id", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], mask=out[0] == _LAST), *map(pa.array, out[1:])], names=_ROW.names)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = arrow_map(keyed, candidates, "h1 long, h2 int, doc_id long, key int, pos int, more binary").repartition(tasks, "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
-    starts = arrow_map(grouped, later, "doc_id long, key int, pos int", WIDE_ROWS).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))
+    grouped = arrow_map(keyed, candidates, "h1 long, h2 int, doc_id long, key long, key2 long, pos int, more binary").repartition(tasks, "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
+    starts = arrow_map(grouped, later, "doc_id long, key long, key2 long, pos int", WIDE_ROWS).groupBy("doc_id", *KEYS).agg(F.collect_set("pos").alias("pos"))
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words that go, as [start, end) in turn: a few numbers where the windows are many."""
         for b in batches:
             lost = [_runs(np.sort(p.values.to_numpy(zero_copy_only=False)), n) for p in b.column("pos")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(lost, pa.list_(pa.int32()))], names=["doc_id", "key", "lost"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(k) for k in KEYS), pa.array(lost, pa.list_(pa.int32()))], names=["doc_id", *KEYS, "lost"])
 
-    removed = table(arrow_map(starts, runs, "doc_id long, key int, lost array<int>"), "substring-removed")
+    removed = table(arrow_map(starts, runs, "doc_id long, key long, key2 long, lost array<int>"), "substring-removed")
 
     def result(text: str | None, lost: np.ndarray | None) -> tuple:
         words = _words(text)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling, sketch
-from .common import arrow_map, read, table, text_key
+from .common import KEYS, arrow_map, read, table, text_keys
 from .removal import finish
 
 GRAM = 128
@@ -258,30 +258,30 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
             yield h
 
     repeats = sketch.repeated(d.select("text"), hashes, sketch.cells_for(size // ANCHOR_BYTES))
-    keyed = d.withColumn("key", text_key(F.col("text")))
+    keyed = d.select("*", *text_keys(F.col("text")))
 
     def surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = b.column("doc_id").to_pylist(), b.column("key").to_pylist()
+            ids, keys = b.column("doc_id").to_pylist(), list(zip(*(b.column(k).to_pylist() for k in KEYS), strict=True))
             for held, text, at, h, runs in _texts(b, length, gram):
                 found = np.flatnonzero(repeats(h))
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for n, p, a in zip(text[found].tolist(), at[found].tolist(), h[found].view(np.int64).tolist(), strict=True):
                     row, raw = held[n]
                     low = max(0, p - reach)
                     region = raw[low : p + length]
-                    for values, x in zip(out, (ids[row], keys[row], low, p - low, xxhash.xxh3_128_digest(region), region, a), strict=True):
+                    for values, x in zip(out, (ids[row], *keys[row], low, p - low, xxhash.xxh3_128_digest(region), region, a), strict=True):
                         values.append(x)
                 for n, start, stop in runs:
                     row = held[n][0]
-                    for values, x in zip(out, (ids[row], keys[row], start, stop, None, None, None), strict=True):
+                    for values, x in zip(out, (ids[row], *keys[row], start, stop, None, None, None), strict=True):
                         values.append(x)
                 if out[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["doc_id", "key", "low", "off", "rd", "region", "a"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["doc_id", *KEYS, "low", "off", "rd", "region", "a"])
 
     # a region, with its anchor `off` bytes behind `low`; or, without an anchor, a run from `low` to `off`
-    found = table(arrow_map(keyed, surroundings, "doc_id long, key int, low int, off int, rd binary, region binary, a long"), "suffix-regions")
+    found = table(arrow_map(keyed, surroundings, "doc_id long, key long, key2 long, low int, off int, rd binary, region binary, a long"), "suffix-regions")
     w = found.where("a is not null")
     g = w.groupBy("a", "rd", "off").agg(F.count("*").alias("n"), F.first("region").alias("region"))
     g = table(g, "suffix-distinct")
@@ -363,11 +363,11 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     else:
         spans = solved.select("a", "rd", "off", "spans")
     spans = spans.groupBy("a", "rd", "off").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    places = w.select("doc_id", "key", "low", "a", "rd", "off").join(spans, ["a", "rd", "off"])
-    ends = F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("low"))))
-    whole = found.where("a is null").select("doc_id", "key", F.lit(0).alias("low"), F.array("low", "off").alias("spans"))
-    places = places.select("doc_id", "key", "low", "spans").unionByName(whole)
-    removed = table(places.groupBy("doc_id", "key").agg(ends.alias("lost")), "suffix-removed")
+    places = w.select("doc_id", *KEYS, "low", "a", "rd", "off").join(spans, ["a", "rd", "off"])
+    ends = F.flatten(F.collect_set(F.transform("spans", lambda x: x + F.col("low"))))  # equal rows of one id add nothing
+    whole = found.where("a is null").select("doc_id", *KEYS, F.lit(0).alias("low"), F.array("low", "off").alias("spans"))
+    places = places.select("doc_id", *KEYS, "low", "spans").unionByName(whole)
+    removed = table(places.groupBy("doc_id", *KEYS).agg(ends.alias("lost")), "suffix-removed")
 
     def result(text: str | None, lost: np.ndarray | None) -> tuple:
         raw = text.encode("utf-8", "surrogatepass") if text else b""
