@@ -8,11 +8,15 @@ is needed by a block if p.q + r|q| reaches that for one of its queries. Only nee
 are replicated to a block, in chunks of CHUNK_ROWS rows, solved there by one matrix product,
 and the chunks' k best are ranked together.
 
-Vectors are integers: floor(256 x) of each component as a double. The score is the inner
-product; the highest come first, of equal ones the smaller id.
-
-Defined cases: a vector that is null, or holds a null or non-finite component, or one
-beyond 32 bits, or has no id, takes no part; shorter vectors are filled up with zeros;
+Vectors are integers: floor(256 x) of each component as a double, kept as doubles, which
+hold them exactly at any size. Cells and bounds are found in floating point, with room
+for its error; the scores that are returned are exact. The score is the inner product;
+the highest come first, of equal ones the smaller id.
+
+Defined cases: a vector that is null, or holds a null or non-finite component, or has no
+id, takes no part; a score beyond 64 bits is the end of their range, and such scores are
+ties; components are held to 2**500 in size, where every score but 0 is beyond that range;
+shorter vectors are filled up with zeros;
 rows of a query's own id are its own and no candidates for it; repeated query rows give
 one result; with fewer than k candidates all are returned; an empty table gives no rows.
 """
@@ -30,13 +34,14 @@ from .common import arrow_map, read, table
 
 QUERY_ROWS = 1024
 CHUNK_ROWS = 4096
-#: Pivots: one for each PIVOT_ROWS rows, within these bounds. They are the rows with the smallest hashes, so a bounded sample.
+#: Pivots: one for each PIVOT_ROWS rows, within these bounds. They are the distinct vectors with the smallest hashes, so a bounded sample.
 PIVOT_ROWS, FEWEST_PIVOTS, MOST_PIVOTS = 512, 32, 1024
 NEEDED_BROADCAST = 100_000
+_LARGEST, _END = 2.0**500, 2**63 - 1
 
 
 def _quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, vec: int32 components as bytes."""
+    """id, vec: whole components as the bytes of doubles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,11 +49,11 @@ def _quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if i is None or not v.is_valid:
                     continue
-                x = np.floor(256 * np.asarray(v.values.cast(pa.float64()).to_numpy(zero_copy_only=False), float)) if len(v) else np.zeros(0)
-                if not np.isfinite(x).all() or (len(x) and np.abs(x).max() >= 2**31):
+                x = np.asarray(v.values.cast(pa.float64()).to_numpy(zero_copy_only=False), float) if len(v) else np.zeros(0)
+                if not np.isfinite(x).all():
                     continue
                 ids.append(i)
-                vecs.append(x.astype("<i4").tobytes())
+                vecs.append((np.floor(256 * np.clip(x, -_LARGEST / 256, _LARGEST / 256)) + 0.0).astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], names=["id", "vec"])
 
     return arrow_map(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), run, "id long, vec binary")
@@ -56,18 +61,38 @@ def _quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def _matrix(rows: Iterable[bytes], width: int) -> np.ndarray:
     rows = list(rows)
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
-        x = np.frombuffer(r, "<i4")
+        x = np.frombuffer(r, "<f8")
         out[i, : len(x)] = x
     return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in exact integers: as doubles where no sum can leave their exact range."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
+    """a @ b.T in exact integers, held to the range of 64 bits: as doubles or longs where no sum can leave their exact range, else, for the few rows of a block with large components, as integers of any size."""
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), np.int64)
+    sizes = [np.abs(x).max(axis=1) for x in (a, b)]
+    large = [s * sizes[1 - i].max() * a.shape[1] >= 2.0**62 for i, s in enumerate(sizes)]
+    if sizes[0].max() * sizes[1].max() * a.shape[1] < 2.0**53:
+        return (a @ b.T).astype(np.int64)
+    whole = [np.where(np.abs(x) < 2.0**62, x, 0).astype(np.int64) for x in (a, b)]
+    out = whole[0] @ whole[1].T
+    exact = lambda x, y: np.array([[max(-_END, min(_END, sum(int(p) * int(q) for p, q in zip(r, s, strict=True)))) for s in y] for r in x], np.int64).reshape(len(x), len(y))
+    out[large[0]] = exact(a[large[0]].tolist(), b.tolist())
+    out[:, large[1]] = exact(a.tolist(), b[large[1]].tolist())
+    return out
+
+
+def _sample(v: DataFrame, n: int, wanted: int) -> list:
+    """The `wanted` distinct vectors with the smallest hashes. Only vectors below a threshold of the hash, some times `wanted`, are grouped and sent, so that little comes to the driver whatever the table."""
+    share = 4.0 * wanted / n
+    while True:
+        low = v if share >= 1 else v.where(F.xxhash64("vec") < F.lit(int(-(2.0**63) + share * 2.0**64)))
+        found = low.groupBy("vec").agg(F.min("id").alias("id"))
+        if share >= 1 or found.count() >= wanted:
+            return found.orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
+        share *= 8
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -78,21 +103,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     empty = "query_id long, rank int, vec_id long, score long"
     if not stats.n:
         return spark.createDataFrame([], empty)
-    width = max(1, (stats.w or 0) // 4)
-    wanted = min(MOST_PIVOTS, max(FEWEST_PIVOTS, stats.n // PIVOT_ROWS))
-    sample = v.groupBy("vec").agg(F.min("id").alias("id")).orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
+    width = max(1, (stats.w or 0) // 8)
+    sample = _sample(v, stats.n, min(MOST_PIVOTS, max(FEWEST_PIVOTS, stats.n // PIVOT_ROWS)))
     pivots = spark.sparkContext.broadcast(_matrix((r.vec for r in sample), width))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pivots.value
-        square = (p.astype(float) ** 2).sum(axis=1)
+        square = (p**2).sum(axis=1)
         for b in batches:
             x = _matrix((r.as_py() for r in b.column("vec")), width)
             if not len(x):
                 continue
-            apart = (x.astype(float) ** 2).sum(axis=1)[:, None] - 2.0 * products(x, p) + square
+            own = (x**2).sum(axis=1)
+            apart = own[:, None] - 2.0 * (x @ p.T) + square
             cell = apart.argmin(axis=1)
-            dist = np.sqrt(np.maximum(apart[np.arange(len(x)), cell], 0))
+            dist = np.sqrt(np.maximum(apart[np.arange(len(x)), cell], 0) + 1e-10 * (own + square[cell]))  # not below the true distance
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column("id"), b.column("vec"), pa.array(dist)], names=["cell", "id", "vec", "dist"])
 
     cells = table(arrow_map(v.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), assign, "cell int, id long, vec binary, dist double"), "knn-cells")
@@ -120,17 +145,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             q = _matrix((r.as_py() for r in b.column("vec")), width)
             if not len(q):
                 continue
-            at = products(q, p).astype(float)
-            spread = np.sqrt((q.astype(float) ** 2).sum(axis=1))[:, None] * radius
-            slack = 1e-9 * (np.abs(at) + spread) + 1e-6
+            at = q @ p.T
+            norm = np.sqrt((q**2).sum(axis=1))[:, None]
+            spread = norm * radius
+            slack = 1e-9 * (norm * np.sqrt((p**2).sum(axis=1)) + spread) + 1e-6
             reached = np.full(len(q), -np.inf)
             if len(p) > k:
-                reached = np.partition(at, len(p) - k - 1, axis=1)[:, len(p) - k - 1]
+                reached = np.partition(at - slack, len(p) - k - 1, axis=1)[:, len(p) - k - 1]
             low = at - spread - slack
             order = np.argsort(-low, axis=1)
             enough = (np.cumsum(count[order], axis=1) > k).argmax(axis=1)
             bound = np.take_along_axis(low, order, axis=1)[np.arange(len(q)), enough]
-            reached = np.maximum(reached, np.where(count.sum() > k, bound, -np.inf))
+            reached = np.minimum(np.maximum(reached, np.where(count.sum() > k, bound, -np.inf)), float(_END))
+            reached = np.where(reached < -float(_END), -np.inf, reached)  # scores beyond the range are ties
             i, cell = np.nonzero((at + spread + slack >= reached[:, None]) & (count > 0))
             new = set(zip(np.asarray(b.column("block"))[i].tolist(), cell.tolist(), strict=True)) - seen
             seen |= new
@@ -203,7 +230,7 @@ def _blocks(pivots: np.ndarray, queries: dict[int, int]) -> tuple[list[int], lis
         size = size + n if parts[here] == 1 else QUERY_ROWS
         if left:
             rest = np.array(sorted(left))
-            here = int(rest[((pivots[rest] - pivots[here]).astype(float) ** 2).sum(axis=1).argmin()])
+            here = int(rest[((pivots[rest] - pivots[here]) ** 2).sum(axis=1).argmin()])
     return first, parts
 
 
