@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import common, decontaminate, html_text, knn, mix, quality, secrets, sketch, substring, warc
+from lodestrata.llm import common, decontaminate, html_text, knn, mix, quality, secrets, sketch, substring, suffix, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,6 +73,19 @@ def test_substring(spark, monkeypatch):
     assert substring.dedup(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_whose_first_keys_collide(spark, monkeypatch):
+    half = lambda text: [F.lit(7).cast("long").alias("key"), common.text_keys(text)[1]]
+    long = "one two three four five six seven " * 6
+    rows = [(None, long), (None, "short"), (None, long + "x"), (3, "one two three four five six"), (3, "else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module in (substring, suffix):
+        monkeypatch.setattr(module, "text_keys", half)
+    got = substring.dedup(df, n=5).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_substring(rows, 5)
+    sizes = {(r.n_bytes, r.n_removed) for r in suffix.dedup(df, length=40).collect()}
+    assert (5, 0) in sizes and (4, 0) in sizes and (27, 0) in sizes and len(sizes) == 5
+
+
 # --- 2
 
 
@@ -155,6 +168,21 @@ def test_knn(spark, monkeypatch, scale):
     assert knn.top_k(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_knn_with_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [(70, [1e8, 0.0, 0.0, 0.0]), (71, [0.0, -9e6, 1.0, 0.0]), (72, [1e8, 1e8, -1e8, 0.0]), (80, [1e300, 0.0, 0.0, 0.0]), (90, [1e308, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    end = 2**63 - 1
+    want = set()
+    vecs = {i: [math.floor(256 * max(-(2.0**500) / 256, min(2.0**500 / 256, x))) for x in v] for i, v in rows}
+    for i, v in vecs.items():
+        if i % 10 == 0:
+            best = sorted((-max(-end, min(end, sum(a * b for a, b in zip(v, u, strict=True)))), j) for j, u in vecs.items() if j != i)[:5]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(df, F.col("id") % 10 == 0).collect()} == want
+
+
 # --- 4
 
 
