@@ -291,14 +291,14 @@ def test_removal_with_a_benchmark_of_several_slices(spark, monkeypatch):
 # --- 7
 
 
-def slow_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney of order 4 over symbol classes, by dictionaries."""
+def slow_kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney over bytes, by dictionaries."""
     top = Counter()
     for t in texts:
-        s = [0, 0, 0, *quality._CLASS[np.frombuffer(t.encode(), np.uint8)].tolist()]
-        top.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    counts = {4: top}
-    for k in (3, 2, 1):
+        s = [0] * (order - 1) + list(t.encode())
+        top.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     discount = {}
     for k, c in counts.items():
@@ -309,7 +309,7 @@ def slow_kneser_ney(texts):
     def p(g):
         k = len(g)
         if not k:
-            return 1 / 64
+            return 1 / 256
         follow = {h: v for h, v in counts[k].items() if h[:-1] == g[:-1]}
         if not follow:
             return p(g[1:])
@@ -321,20 +321,58 @@ def slow_kneser_ney(texts):
     return p
 
 
-def test_kneser_ney(spark):
-    texts = ["abab abba", "banana band", "a bad ban", "Über ab"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
-    model = quality.train(docs, labels)
-    assert set(model.parts) == {"en", ""}
-    p, dense = slow_kneser_ney(texts), model.dense("en")
+def slow_bits(p, text, order):
+    s = [0] * (order - 1) + list((text or "").encode())
+    return sum(-math.log2(p(tuple(s[i : i + order]))) for i in range(len(s) - order + 1))
+
+
+def slow_fold(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return [r[0] for r in df.select(F.pmod(F.xxhash64("text"), F.lit(quality.HOLD_OUT))).collect()]
+
+
+def test_perplexity_and_limits(spark, monkeypatch):
+    """Perplexity, limit and decision of every document against dictionaries, over several chunks, blocks and languages."""
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(quality, "HELD", 100)
     rng = np.random.default_rng(1)
-    seen = quality.grams("abab banana\x00xyz!")
-    for g in [*seen.tolist(), *rng.integers(0, 64**4, 20).tolist()]:
-        g4 = tuple(int(g) >> s & 63 for s in (18, 12, 6, 0))
-        assert dense[g] == pytest.approx(-math.log2(p(g4)) * quality.UNIT, abs=2)
-    context = int(seen[5]) >> 6
-    assert (2.0 ** (-dense[context * 64 : context * 64 + 64] / quality.UNIT)).sum() == pytest.approx(1, abs=0.01)
+    words = ["abab", "banana", "band", "Über", "naïve", "stand", "and"]
+    rows = [(i, " ".join(rng.choice(words, 9)), ("en", "fr", None)[i % 3]) for i in range(40)]
+    rows += [(100, "zzz###", "en"), (101, "", "fr"), (102, None, "en"), (103, "abab\x00xyz!", "xx"), (None, "band and", "en"), (1, "another of this id", "fr"), (104, "banana " * 200, "fr")]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, model string, n int").repartition(3).cache()
+    trusted = set(range(0, 30))
+    labels = spark.createDataFrame([(i, 1, 0) for i in sorted(trusted)] + [(100, 0, 0), (101, 1, 1)], "doc_id long, quality int, toxic int")
+    fold = slow_fold(spark, [t for _, t, _ in rows])
+    train = [(t, x) for (i, t, x), f in zip(rows, fold, strict=True) if i in trusted and f and t]
+    known = {x: n for n, x in enumerate(sorted({x for i, _, x in rows if i in trusted and x}), 1)}
+    models = {x: slow_kneser_ney([t for t, y in train if y == x], quality.ORDER) for x in known} | {None: slow_kneser_ney([t for t, _ in train], quality.ORDER)}
+    of = lambda x: x if x in known else None
+    bits = [slow_bits(models[of(x)], t, quality.ORDER) for _, t, x in rows]
+    size = [len((t or "").encode()) for _, t, _ in rows]
+    held = {m: [(bits[k], size[k]) for k, (i, t, x) in enumerate(rows) if i in trusted and not fold[k] and t and of(x) == m] for m in models}
+    assert sum(map(len, held.values())) and len(known) == 2
+    means = {m: sum(b for b, _ in v) / sum(n for _, n in v) for m, v in held.items() if v}
+    drawn = lambda b, n, m: (b + quality.PRIOR * means[m]) / (n + quality.PRIOR)
+    limit = {m: sorted(drawn(b, n, m) for b, n in v)[math.ceil(quality.QUANTILE * len(v)) - 1] * (quality.SLACK + quality.FEW / len(v)) for m, v in held.items() if v}
+    loosest = max(limit, key=limit.get)
+    want = []
+    for (i, t, x), b, n in zip(rows, bits, size, strict=True):
+        m = of(x)
+        most = limit.get(m, limit[loosest])
+        draw = (b + quality.PRIOR * means.get(m, means[loosest])) / (n + quality.PRIOR)
+        want.append((-1 if i is None else i, t or "", 2 ** (b / n) if n else None, 2**most, n > 0 and draw <= most))
+        assert abs(draw - most) > 0.01  # none is near the limit
+    model = quality.train(docs, labels)
+    assert model.names == known
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(rows) and {r.lang for r in got} == {"en", "fr", "xx", None}
+    want.sort(key=lambda r: (r[0], len(r[1].encode())))
+    for r, w in zip(sorted(got, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_symbols)), want, strict=True):
+        assert r.perplexity == pytest.approx(w[2], rel=0.01) if w[2] else r.perplexity is None
+        assert r.threshold == pytest.approx(w[3], rel=0.01) and r.keep == w[4]
+    assert {w[4] for w in want if w[1]} == {True, False}
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect()) == sorted((w[0], w[1]) for w in want if w[4])
 
 
 def test_quality_keeps_clean_text_and_rejects_noise(spark):
@@ -353,7 +391,13 @@ def test_quality_keeps_clean_text_and_rejects_noise(spark):
     assert good.columns == docs.columns and good.count() == 62
     none = quality.train(docs, labels.limit(0))
     assert none is None and quality.keep_good(docs, none).count() == len(rows) - 2
-    assert quality.score(docs.limit(0), none).count() == 0
+    assert quality.score(docs.limit(0), none).count() == 0 and quality.score(docs.limit(0), model).count() == 0 and quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def test_documents_that_change_between_two_reads_fail_the_job():
+    answers = quality.Answers([[np.array([5, 9], np.uint64), np.zeros(2, np.int16), np.zeros(2, np.int16)]])
+    with pytest.raises(RuntimeError):
+        answers.bits(np.array([7], np.uint64))
 
 
 # --- 9
