@@ -45,7 +45,7 @@ from .common import arrow_map, read, table
 #: Bytes of the longest gram; keys have room for five.
 ORDER = 5
 HOLD_OUT = 5
-QUANTILE, SLACK, FEW = 0.99, 1.02, 0.3
+QUANTILE, SLACK, FEW = 0.95, 1.06, 0.3
 PRIOR = 128
 #: Bins of a bit in scores and stored probabilities.
 UNIT = 1024
