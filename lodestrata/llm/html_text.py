@@ -361,6 +361,10 @@ div | 2 | 2 | 0
 div | 1 | 1 | 0
 div | 2 | 0 | 0
 div | 2 | 2 | 0
+div | 13 | 0 | 0
+div | 4 | 4 | 0
+div | 8 | 0 | 0
+div | 4 | 4 | 0
 h2 | 5 | 0 | 1
 p | 58 | 6 | 1
 p | 4 | 0 | 1
@@ -368,9 +372,9 @@ p | 47 | 0 | 1
 p | 26 | 9 | 1
 p | 12 | 0 | 1
 div | 6 | 5 | 0
-div | 3 | 3 | 0
+div | 2 | 2 | 0
 p | 64 | 0 | 1
-div | 3 | 3 | 0
+div | 2 | 2 | 0
 div | 7 | 6 | 0
 div | 4 | 0 | 0
 div | 5 | 5 | 0
