@@ -9,8 +9,8 @@ only that bucket is split again, so that nothing is sorted and any thread of the
 below the threshold for one budget is below that for a larger one (the mixes are nested).
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last;
-a source of size 0 has target 0; documents of one hash (the same id) stand or fall
-together; an empty table gives no rows.
+a source of size 0 has target 0; rows equal in id and text stand or fall together, others
+don't, whether they have an id or not; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, DIGITS * LEVELS), 16, 10).cast("long")
+def _hash(doc_id: Column, text: Column) -> Column:
+    """Of id and text, so that rows without an id, or of one id, are told apart."""
+    row = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(row), 1, DIGITS * LEVELS), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3) -> DataFrame:
@@ -77,8 +79,8 @@ def thresholds(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    return table(d, "mix-sizes").withColumn("h", _hash(F.col("doc_id")))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _hash(F.col(id_col), F.col(text_col)).alias("h"))
+    return table(d, "mix-sizes")
 
 
 def _times() -> Column:
@@ -97,7 +99,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
     cut, few = thresholds(_sizes(docs, id_col, text_col, source_col), weights, most)
     cut = cut.select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("above").alias("__above"))
     j = docs.join(F.broadcast(cut) if few else cut, docs[source_col].eqNullSafe(F.col("__source")))
-    times = (F.col("__full") + F.when(_hash(F.col(id_col)) < F.col("__above"), 1).otherwise(0)).cast("long")
+    times = (F.col("__full") + F.when(_hash(F.col(id_col), F.col(text_col)) < F.col("__above"), 1).otherwise(0)).cast("long")
     kept = j.withColumn("mix_times", times).drop("__source", "__full", "__above")
     return kept.where(F.col("mix_times") > 0)
 
@@ -133,7 +135,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 9))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight, sum(source_size) OVER ()::DOUBLE AS total FROM s),
 fill(k, level) AS (
