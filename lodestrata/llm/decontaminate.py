@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import KEYS, arrow_map, same_row, table, text_keys
 
 #: Words of the benchmark beyond which the n-gram set isn't broadcast whole but in slices.
 SLICE_WORDS = 2_000_000
@@ -134,7 +134,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
                         cols[k].append(v)
                 arrays = [b.column("doc_id"), pa.array(cols["n_words"], pa.int64()), pa.array(cols["n_hit"], pa.int64()), pa.array(cols["n_items"], pa.int64()), pa.array(cols["items_sha256"], pa.string()), pa.array(cols["contaminated"], pa.bool_()), pa.array(cols["spans"], pa.list_(pa.int32())), pa.array(cols["items"], pa.list_(pa.string()))]
                 names = ["doc_id", *cols]
-                more = ["key"] if with_key else [*(["text"] if with_text else []), *rest]
+                more = KEYS if with_key else [*(["text"] if with_text else []), *rest]
                 yield pa.RecordBatch.from_arrays([*arrays, *(b.column(c) for c in more)], names=[*names, *more])
 
         return run
@@ -144,16 +144,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
     # rows of equal id and other texts stay apart; equal rows give equal results and are counted
     parts = None
     for items in chain((first, second), slices):
-        with_key = plain.select("doc_id", "text", F.xxhash64("text").alias("key"))
-        part = arrow_map(with_key, scanner(items, with_key=True), report + ", key long")
+        with_key = plain.select("doc_id", "text", *text_keys(F.col("text")))
+        part = arrow_map(with_key, scanner(items, with_key=True), f"{report}, key long, key2 long")
         part = table(part, "decontaminate-slice")
         parts = part if parts is None else parts.unionByName(part)
-    slices_of = parts.groupBy("doc_id", "n_words", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    slices_of = parts.groupBy("doc_id", "n_words", *KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     if not keep:
-        times = plain.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count("*").alias("times"))
-        times = times.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "times")
-        same = slices_of["doc_id"].eqNullSafe(times["__id"]) & (slices_of["key"] == times["__key"])
-        merged = slices_of.join(times, same).select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+        times = plain.groupBy("doc_id", *text_keys(F.col("text"))).agg(F.count("*").alias("times"))
+        times = times.withColumnsRenamed({"doc_id": "__id", "key": "__key", "key2": "__key2"})
+        merged = slices_of.join(times, same_row(slices_of, times)).select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
     def join_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,17 +163,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ..
                     hit[s:e] = True
                 rows.append({"doc_id": r["doc_id"], **summary(r["n_words"], hit, set(r["items"]))})
                 if keep:
-                    rows[-1]["key"] = r["key"]
+                    rows[-1] |= {k: r[k] for k in KEYS}
             if rows:
                 fields = [("doc_id", b.schema.field("doc_id").type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields + ([("key", pa.int64())] if keep else [])))
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields + ([(k, pa.int64()) for k in KEYS] if keep else [])))
 
     if not keep:
         return arrow_map(merged, join_up, report).drop("items")
-    found = arrow_map(slices_of, join_up, report + ", key long").drop("items").withColumnsRenamed({"doc_id": "__id", "key": "__key"})
-    own = plain.withColumn("__own", F.xxhash64("text"))
-    joined = own.join(found, own["doc_id"].eqNullSafe(found["__id"]) & (own["__own"] == found["__key"]))
-    return joined.select("doc_id", *found.columns[1:-1], *(["text"] if with_text else []), *rest)
+    found = arrow_map(slices_of, join_up, f"{report}, key long, key2 long").drop("items").withColumnsRenamed({"doc_id": "__id", "key": "__key", "key2": "__key2"})
+    own = plain.withColumns(dict(zip(KEYS, text_keys(F.col("text")), strict=True)))
+    return own.join(found, same_row(own, found)).select("doc_id", *found.columns[1:-2], *(["text"] if with_text else []), *rest)
 
 
 def summary(n_words: int, hit: np.ndarray, found: set[str]) -> dict:
@@ -184,15 +182,16 @@ def summary(n_words: int, hit: np.ndarray, found: set[str]) -> dict:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, least_share: float = 0.0) -> DataFrame:
-    """The documents whose share of hit words is at most `least_share` (0: any hit removes the document), with all their columns."""
-    found = scan(docs, benchmark, n, keep=tuple(docs.columns))
+    """The documents whose share of hit words is at most `least_share` (0: any hit removes the document), with all their columns, whatever their names."""
+    own = {c: c if c in ("doc_id", "text") else f"__own{i}" for i, c in enumerate(docs.columns)}
+    found = scan(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items())), benchmark, n, keep=tuple(own.values()))
     clean = ~F.col("contaminated") | (F.col("n_hit") <= F.col("n_words") * F.lit(least_share))
-    return found.where(clean).select(*docs.columns)
+    return found.where(clean).select(*(F.col(x).alias(c) for c, x in own.items()))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """doc_id, text and n_removed: each document without its hit words; the other words are kept as written, with the separators that follow them."""
-    found = scan(docs, benchmark, n, keep=("text",))
+    found = scan(docs.select("doc_id", "text"), benchmark, n, keep=("text",))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
