@@ -9,12 +9,15 @@ log P(token | random) - log P(token | ordinary) is over `bits` bits a character.
 
 The models are first-order chains over character classes, with add-one counts. They are
 trained from labelled samples: strings drawn from secret alphabets by a seeded generator
-(label: random), and the words of at most SAMPLE_ROWS labelled documents, those with the
-smallest hash of their id, without the fixed kinds (label: ordinary). The bound is
-`sample_rows`. Without such documents, built-in identifiers alone stand for the latter.
+(label: random), and the words in the whole texts of the documents of at most SAMPLE_ROWS
+labelled ids, those with the smallest hashes, without the fixed kinds (label: ordinary).
+The bound is `sample_rows`. The pairs of characters are counted in tasks; only the table
+of counts comes to the driver. Without such documents, built-in identifiers alone stand
+for the latter.
 
 Defined cases: null text is as empty; rows are judged one by one, so repeated rows and
-ids give repeated results; other columns are ignored by the report.
+ids give repeated results; all rows of a sampled id are counted; other columns are ignored
+by the report and kept by redact; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,13 +64,15 @@ def _codes(token: str) -> np.ndarray:
     return _INDEX[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
 
 
-def chain(tokens: list[str]) -> np.ndarray:
-    """log2 P(next | this) with add-one counts; state 0 stands before the first character and for any other character."""
-    counts = np.ones((_STATES, _STATES))
-    for t in tokens:
-        c = np.concatenate([[0], _codes(t)])
-        np.add.at(counts, (c[:-1], c[1:]), 1)
-    return np.log2(counts / counts.sum(axis=1, keepdims=True))
+def pairs(tokens: Iterable[str]) -> np.ndarray:
+    """How often a character follows another in the tokens; state 0 stands before the first character and for any other character."""
+    c = np.concatenate([[0], _codes(" ".join(tokens))])  # a space is state 0
+    return np.bincount(c[:-1] * _STATES + c[1:], minlength=_STATES**2).reshape(_STATES, _STATES) * (np.arange(_STATES) > 0)
+
+
+def chain(counts: np.ndarray) -> np.ndarray:
+    """log2 P(next | this) with add-one counts."""
+    return np.log2((counts + 1) / (counts + 1).sum(axis=1, keepdims=True))
 
 
 def random_samples(n: int = 4000, seed: int = 7) -> list[str]:
@@ -79,26 +84,33 @@ def random_samples(n: int = 4000, seed: int = 7) -> list[str]:
     return out
 
 
-def ratio_table(ordinary_texts: list[str]) -> np.ndarray:
-    """The chains' difference: what each pair of characters adds to the ratio, in bits."""
-    ordinary = ORDINARY.split() * 20
-    for text in ordinary_texts:
-        at, clean = 0, []
-        for s, e, _ in base_spans(text):
-            clean.append(text[at:s])
-            at = max(at, e)
-        ordinary += re.findall(r"[A-Za-z0-9+/_-]{3,}", " ".join([*clean, text[at:]]))
-    return chain(random_samples()) - chain(ordinary)
+def ordinary_pairs(text: str) -> np.ndarray:
+    """The pairs in the words of a text, without the fixed kinds."""
+    at, clean = 0, []
+    for s, e, _ in base_spans(text):
+        clean.append(text[at:s])
+        at = max(at, e)
+    return pairs(re.findall(r"[A-Za-z0-9+/_-]{3,}", " ".join([*clean, text[at:]])))
+
+
+def ratio_table(ordinary: np.ndarray | int = 0) -> np.ndarray:
+    """The chains' difference: what each pair of characters adds to the ratio, in bits. ordinary: the pairs in ordinary text."""
+    return chain(pairs(random_samples())) - chain(pairs(ORDINARY.split() * 20) + ordinary)
 
 
 def markov_spans(text: str, taken: list[tuple[int, int, str]], table: np.ndarray, bits: float) -> list[tuple[int, int, str]]:
-    out = []
+    """taken: the fixed spans, by start."""
+    out: list[tuple[int, int, str]] = []
+    next_taken, last_end = 0, 0
     for m in TOKEN.finditer(text):
+        while next_taken < len(taken) and taken[next_taken][0] < m.end():
+            last_end = max(last_end, taken[next_taken][1])
+            next_taken += 1
+        if last_end > m.start():
+            continue
         t = m[0]
         if not (any(c.isdigit() for c in t) and any(c.isalpha() for c in t)) and (t.islower() or t.isupper() or t[1:].islower()):
             continue
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
         c = np.concatenate([[0], _codes(t)])
         if table[c[:-1], c[1:]].sum() > bits * len(t):
             out.append((m.start(), m.end(), "markov"))
@@ -106,16 +118,27 @@ def markov_spans(text: str, taken: list[tuple[int, int, str]], table: np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The ratio table from at most `sample_rows` labelled documents of at most SAMPLE_CHARS characters each."""
-    texts: list[str] = []
-    if labels is not None:
-        ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-        texts = [r[0] for r in docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi").select(F.substring(text_col, 1, SAMPLE_CHARS)).limit(2 * sample_rows).collect() if r[0]]
-    return ratio_table(texts)
+    """The ratio table from the documents of at most `sample_rows` labelled ids."""
+    if labels is None:
+        return ratio_table()
+    ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("__text")).join(F.broadcast(ids), F.col("__of") == F.col("__id"), "left_semi").select("__text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((_STATES, _STATES), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                if t.is_valid:
+                    counts += ordinary_pairs(t.as_py())
+        at = np.flatnonzero(counts.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["pair", "n"])
+
+    counts = np.zeros(_STATES**2, np.int64)
+    for r in arrow_map(texts, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most _STATES**2 rows
+        counts[r.pair] = r.n
+    return ratio_table(counts.reshape(_STATES, _STATES))
 
 
-#: Characters of a training document; what is scanned is always the whole text.
-SAMPLE_CHARS = 4000
 BITS = 0.3
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,15 @@ def test_mix(spark):
     assert mix.mix(df.limit(0)).count() == 0 and mix.take(df.limit(0)).count() == 0
 
 
+def test_mix_tells_rows_without_an_id_apart(spark):
+    rows = [(None, f"a{i} " * 10, "s") for i in range(9)] + [(1, f"b{i} " * 10, "t") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.mix(df, weights=(1, 5)).collect()
+    for source in ("s", "t"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+
+
 def test_mix_without_a_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 4}") for i in range(200)], "doc_id long, text string, source string")
     want = Counter((r.doc_id, r.taken) for r in mix.mix(df).collect())
@@ -200,7 +210,7 @@ def test_secret_patterns():
 
 
 def test_secret_models_tell_random_strings_from_names(spark):
-    table = secrets.ratio_table(["the quick brown foxes are jumping over lazydogsandcats"] * 5)
+    table = secrets.ratio_table(secrets.ordinary_pairs("the quick brown foxes are jumping over lazydogsandcats " * 5))
     unseen = secrets.random_samples(400, seed=99)
     assert np.mean([bool(secrets.markov_spans(x, [], table, secrets.BITS)) for x in unseen]) > 0.97
     names = "compute_average_temperature readConfigurationFile2 org/acme/project/module/ClassName2 kebab-case-identifier-number-2 DEFAULT_RETRY_COUNT_10 serializeObjectToStream2"
@@ -215,6 +225,31 @@ def test_secret_models_tell_random_strings_from_names(spark):
     assert secrets.scan(df.limit(0), secrets.train(df.limit(0), None)).count() == 0
 
 
+def test_secret_training_and_long_texts(spark):
+    """Whole texts are counted, and the chain is that of counting pair by pair."""
+    rows = [(1, "plain words " * 900 + "zqzq_end"), (1, "another row of the id"), (2, None), (3, "not labelled well"), (4, 'token = "abcdefgh1234" after'), (None, "x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, quality int").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 1), (None, 1), (1, 1)], "doc_id long, quality int")
+    counts = np.ones((secrets._STATES, secrets._STATES))
+    for w in secrets.ORDINARY.split() * 20 + ["plain", "words"] * 900 + ["zqzq_end"] + "another row the after".split():
+        c = [0, *(secrets._INDEX[ord(x)] for x in w)]
+        for a, b in zip(c, c[1:]):
+            counts[a, b] += 1
+    ordinary = np.log2(counts / counts.sum(axis=1, keepdims=True))
+    assert np.allclose(secrets.train(docs, labels), secrets.chain(secrets.pairs(secrets.random_samples())) - ordinary)
+    assert np.allclose(secrets.train(docs, labels.limit(0)), secrets.ratio_table())
+    table = secrets.ratio_table()
+    one = secrets.random_samples(7, seed=3)[2]
+    text = f"password: hunter2hunter2 {one} é " * 20_000
+    began = time.perf_counter()
+    base = secrets.base_spans(text)
+    found = secrets.markov_spans(text, base, table, secrets.BITS)
+    assert time.perf_counter() - began < 10 and len(base) == 20_000
+    for s, e, _ in found[:50] + found[-50:]:  # the spans of the whole text, token by token
+        assert text[s:e] == one and not any(a < e and s < b for a, b, _ in base)
+    assert len(found) == 20_000
+
+
 # --- 5
 
 
@@ -255,11 +290,11 @@ def test_decontamination(spark, monkeypatch, slice_words):
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.scan(df, bench, n=4).collect())
     want = slow_decontaminate(rows, items, 4)
     assert got == want
-    if slice_words > 100:
-        clean = decontaminate.drop_contaminated(df.drop("n_hit"), bench, n=4)
-        assert clean.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id or 0 for r in clean.collect()) == [3, 4, 5]
-        cut = {r.doc_id: (r.text, r.n_removed) for r in decontaminate.remove_spans(df.drop("n_hit"), bench, n=4).collect()}
-        assert cut[1] == ("see over ", 9) and cut[2] == ("ab", 2) and cut[3] == (None, 0)
+    more = df.withColumns({c: F.lit(7) for c in ("items", "spans", "contaminated", "key", "odd name.x")})
+    clean = decontaminate.drop_contaminated(more, bench, n=4)
+    assert clean.columns == more.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [3, 4, 5]
+    cut = {r.doc_id: (r.text, r.n_removed) for r in decontaminate.remove_spans(more, bench, n=4).collect()}
+    assert cut[1] == ("see over ", 9) and cut[2] == ("ab", 2) and cut[3] == (None, 0)
     assert decontaminate.scan(df, bench.limit(0)).where("contaminated").isEmpty()
     assert decontaminate.scan(df.limit(0), bench).count() == 0
 
