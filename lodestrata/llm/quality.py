@@ -50,7 +50,7 @@ PRIOR = 128
 #: Bins of a bit in scores and stored probabilities.
 UNIT = 1024
 #: Text of a chunk, text whose grams are cut at once, grams that a task holds before they are sorted.
-CHUNK_BYTES, BLOCK, HELD = 32 << 20, 2 << 20, 4_000_000
+CHUNK_BYTES, BLOCK, HELD = 32 << 20, 1 << 20, 1_000_000
 #: Entries of a model's shard.
 SHARD_ENTRIES = 1 << 20
 #: The model of all trusted text.

@@ -35,9 +35,9 @@ def encode(sorted_cells: np.ndarray) -> bytes:
     """Ascending cell numbers as gaps: 255 adds 255 to the gap and goes on, a smaller byte ends it."""
     if not len(sorted_cells):
         return b""
-    gaps = np.diff(sorted_cells, prepend=0)
+    gaps = np.diff(sorted_cells.astype(np.int32), prepend=np.int32(0))
     more = gaps // 255
-    ends = np.cumsum(more + 1) - 1
+    ends = np.cumsum(more + 1, dtype=np.int32) - 1
     out = np.full(int(ends[-1]) + 1, 255, np.uint8)
     out[ends] = gaps - more * 255
     return out.tobytes()
@@ -56,13 +56,14 @@ def _partial(h: np.ndarray, cells: int) -> Iterator[tuple[int, bool, bytes]]:
     """segment (of both rows, in turn), whether counted more than once, the cells."""
     segments = cells >> SEGMENT_BITS
     for row in (0, 1):
-        c = np.sort(cells_of(h, row, cells))
+        c = ((h >> np.uint64(32 * row)) & np.uint64(cells - 1)).astype(np.uint32)  # a task holds millions
+        c.sort()
         first = np.concatenate([[True], c[1:] != c[:-1]])
         once = first & np.concatenate([c[1:] != c[:-1], [True]])
         for many, found in ((False, c[once]), (True, c[first & ~once])):
-            edges = np.searchsorted(found, np.arange(segments + 1, dtype=np.int64) << SEGMENT_BITS)
+            edges = np.searchsorted(found, (np.arange(segments + 1, dtype=np.int64) << SEGMENT_BITS).astype(np.uint32))
             for s in np.flatnonzero(np.diff(edges)).tolist():
-                yield row * segments + s, many, encode(found[edges[s] : edges[s + 1]] - (s << SEGMENT_BITS))
+                yield row * segments + s, many, encode(found[edges[s] : edges[s + 1]] - np.uint32(s << SEGMENT_BITS))
 
 
 def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int) -> "Repeated":
@@ -73,7 +74,9 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(_partial(np.concatenate(held), cells))
+            every = np.concatenate(held)
+            held.clear()
+            rows = list(_partial(every, cells))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "many", "data"])
 
         for b in batches:
