@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -52,7 +54,7 @@ def drop_tables(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow in batches that a worker of little memory can hold: batches of many rows come in slices of `rows`."""
+    """mapInArrow in batches that a worker of little memory can hold: batches of many rows come in slices of `rows`. Workers outlive a task, and are to hold nothing of it."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -61,7 +63,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[p
             for at in range(0, b.num_rows, rows):
                 yield b.slice(at, rows)
 
-    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(sliced(batches))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    """Return freed memory, which Arrow and the C library keep for themselves, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: The columns of text_keys.

@@ -123,6 +123,10 @@ class Repeated:
     def __init__(self, shared, cells: int):
         self.shared, self.cells = shared, cells
 
+    def done(self) -> None:
+        """Free the executors' copies; they come again if they are needed after all."""
+        self.shared.unpersist()
+
     def __call__(self, h: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self.shared.value, np.uint8).reshape(2, -1)
         out = np.ones(len(h), bool)
