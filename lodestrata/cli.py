@@ -13,7 +13,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import code, concepts, graph, model, prefetch, search, semantic, structure
+from .operators import code, concepts, graph, incremental, model, prefetch, search, semantic, structure
 from .plans.regex import PatternError
 from .sources import directory, store
 
@@ -21,9 +21,19 @@ from .sources import directory, store
 class Corpus:
     """A corpus of files with what its modes need, made when it is asked for: text modes parse nothing."""
 
-    def __init__(self, files: DataFrame):
+    def __init__(self, files: DataFrame, postings: DataFrame | None = None):
         self.files = files
-        self._made: dict[str, DataFrame] = {}
+        self._made: dict[str, DataFrame] = {} if postings is None else {"postings": postings}
+        self._file_count = 0 if postings is None else files.count()
+
+    @classmethod
+    def of_tree(cls, spark: SparkSession, root: str, index: str | None = None) -> "Corpus":
+        """The files of a tree; with `index`, a folder, over the index there, brought up to the tree: only new and changed files are read."""
+        if index is None:
+            return cls(directory.files(spark, root).where(F.col("text").isNotNull()))
+        tables = incremental.refresh(spark, index, directory.files(spark, root, texts=False).drop("text"), lambda rows: directory.read(rows, root))
+        store.prune(spark, index)
+        return cls(tables["files"], tables["postings"])
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
@@ -42,24 +52,42 @@ class Corpus:
     def symbols(self) -> DataFrame:
         return code.symbols(self.parsed)
 
+    @property
+    def calls(self) -> DataFrame:
+        return self._once("calls", lambda: graph.enclosed_calls(code.calls(self.parsed), self.symbols))
+
     @property
     def edges(self) -> DataFrame:
-        return self._once("edges", lambda: graph.edges(graph.enclosed_calls(code.calls(self.parsed), self.symbols), self.symbols))
+        return self._once("edges", lambda: graph.edges(self.calls, self.symbols))
+
+    @property
+    def degrees(self) -> DataFrame:
+        return graph.degrees(self.calls, self.symbols)
 
     @property
     def concepts(self) -> DataFrame:
         return self._once("concepts", lambda: concepts.concepts(self.files))
 
+    def matches(self, pattern: str) -> DataFrame:
+        """Over the candidates of an index that is there; one is not made for a single search, which costs less."""
+        if "postings" in self._made:
+            return search.indexed_search(self.files, self.postings, pattern, self._file_count or self.files.count())
+        return search.search(self.files, pattern)
+
     def search(self, pattern: str) -> DataFrame:
-        return search.search(self.files, pattern).orderBy("doc_id", "line_number")
+        return self.matches(pattern).orderBy("doc_id", "line_number")
 
     def structural(self, pattern: str) -> DataFrame:
         """Only files with a match are parsed."""
-        hit = self.files.join(search.search(self.files, pattern).select("doc_id").distinct(), "doc_id", "left_semi")
+        hit = self.files.join(self.matches(pattern).select("doc_id").distinct(), "doc_id", "left_semi")
         symbols = code.symbols(code.parse(hit))
         return structure.structural_search(hit, symbols, pattern, with_body=True).orderBy("doc_id", "match_line_number")
 
     def semantic(self, pattern: str, layer: int, budget: int | None) -> DataFrame:
+        """Layers 0 and 2 need no graph: only files with a match are parsed for them."""
+        if semantic.layer_of(layer) != 1:
+            hit = self.files.join(self.matches(pattern).select("doc_id").distinct(), "doc_id", "left_semi")
+            return semantic.semantic_search(hit, code.symbols(code.parse(hit)), pattern, layer, None, budget).orderBy("doc_id", "ord")
         return semantic.semantic_search(self.files, self.symbols, pattern, layer, self.edges, budget).orderBy("doc_id", "ord")
 
     def exists(self, name: str) -> bool:
@@ -89,6 +117,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--layer", type=int)
     p.add_argument("--budget", type=int)
     p.add_argument("--json", action="store_true")
+    p.add_argument("--index", metavar="FOLDER", help="keep an index there and search by it")
     p.add_argument("--no-color", action="store_true")
     p.add_argument("-c", "--count", action="store_true")
     p.add_argument("-l", "--files", action="store_true")
@@ -98,10 +127,10 @@ def parser() -> argparse.ArgumentParser:
 def answer(c: Corpus, a: argparse.Namespace) -> list[str]:
     """The lines that are printed."""
     if a.stats:
-        r = model.stats(c.files, c.postings, c.symbols, c.edges, c.concepts).first().asDict()
-        return [f"{k}: {v}" for k, v in r.items()] + [f"model tokens: {model.build(c.files, c.symbols, c.edges)['tokens']}"]
+        r = model.stats(c.files, c.postings, c.symbols, graph.edge_count(c.calls, c.symbols), c.concepts).first().asDict()
+        return [f"{k}: {v}" for k, v in r.items()] + [f"model tokens: {model.build(c.files, c.symbols, c.degrees)['tokens']}"]
     if a.model:
-        m = model.build(c.files, c.symbols, c.edges)
+        m = model.build(c.files, c.symbols, c.degrees)
         return [json.dumps({k: v for k, v in m.items() if k != "text"}) if a.json else m["text"] + f"\n~{m['tokens']} tokens"]
     if a.exists:
         there = c.exists(a.exists)
@@ -136,7 +165,7 @@ def main(args: list[str] | None = None) -> int:
         return 2
     spark = SparkSession.builder.appName("lodestrata").config("spark.ui.enabled", "false").getOrCreate()
     try:
-        lines = answer(Corpus(directory.files(spark, a.path).where(F.col("text").isNotNull())), a)
+        lines = answer(Corpus.of_tree(spark, a.path, a.index), a)
     except PatternError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,27 +91,52 @@ class Bloom:
     def is_empty(self) -> bool:
         return self.insertions == 0
 
-    def places(self, item: Column) -> Column:
-        low = F.lower(item)
-        a, b = F.xxhash64(low), F.xxhash64(low, F.lit(1))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: F.pmod(F.pmod(a, F.lit(self.bits)) + i * F.pmod(b, F.lit(self.bits)), F.lit(self.bits)).cast("int"))
+    def _hashed(self, items: DataFrame, column: str) -> DataFrame:
+        """items with two hashes of the item, any case alike."""
+        low = F.lower(F.col(column))
+        return items.select("*", F.xxhash64(low).alias("__a"), F.xxhash64(low, F.lit(1)).alias("__b"))
+
+    def _places(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The bits of each item of a batch whose last columns are its hashes."""
+        a, b = (batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False).astype(np.int64) % self.bits for k in (2, 1))
+        return (a[:, None] + np.arange(self.hashes) * b[:, None]) % self.bits
 
     def add(self, items: DataFrame, column: str) -> "Bloom":
-        """Set the bits of all items. Only the distinct bits, `bits` at most, come to the driver."""
-        for r in items.select(F.explode(self.places(F.col(column))).alias("p")).distinct().toLocalIterator():
-            self.words[r.p >> 3] |= 1 << (r.p & 7)
-        self.insertions += items.count()
+        """Set the bits of all items. Each task sends its filter's words that aren't 0; they are or-ed by word, so that at most the filter's words come to the driver."""
+        bloom = Bloom.__new__(Bloom)
+        bloom.bits, bloom.hashes = self.bits, self.hashes
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, n = np.zeros(-(-bloom.bits // 64) * 8, np.uint8), 0
+            for b in batches:
+                n += b.num_rows
+                at = np.unique(bloom._places(b))
+                np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            words = found.view("<i8")
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([0, *words[at].tolist()], pa.int64()), pa.array([n] + [0] * len(at), pa.int64())], names=["word", "bits", "n"])
+
+        parts = self._hashed(items.select(column), column).select("__a", "__b").mapInArrow(run, "word int, bits long, n long")
+        words = np.frombuffer(self.words, "<i8").copy()
+        for r in parts.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n")).toLocalIterator():
+            if r.word >= 0:
+                words[r.word] |= r.bits
+            self.insertions += r.n
+        self.words = bytearray(words.tobytes())
         return self
 
     def might_contain(self, items: DataFrame, column: str, alias: str = "present") -> DataFrame:
         """items with `alias`; the bits are broadcast, `size_bytes` of them."""
         shared = items.sparkSession.sparkContext.broadcast(bytes(self.words))
+        bloom = Bloom.__new__(Bloom)
+        bloom.bits, bloom.hashes = self.bits, self.hashes
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = shared.value
+            words = np.frombuffer(shared.value, np.uint8)
             for b in batches:
-                found = [all(words[p >> 3] >> (p & 7) & 1 for p in places) for places in b.column(b.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.bool_())], names=[*b.schema.names[:-1], alias])
+                at = bloom._places(b)
+                found = (words[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.bool_())], names=[*b.schema.names[:-2], alias])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-        return items.withColumn("__places", self.places(F.col(column))).mapInArrow(run, f"{fields}, {alias} boolean")
+        return self._hashed(items, column).mapInArrow(run, f"{fields}, {alias} boolean")

@@ -78,6 +78,17 @@ def imported_by(imports: DataFrame, target: str) -> DataFrame:
     return imports.where(F.col("target") == target).select("path")
 
 
+def degrees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """As name_degrees() of the edges, from counts by name: no edge is made for it. calls: caller, callee."""
+    c = calls.groupBy("caller", "callee").agg(F.count("*").alias("c"))
+    d = symbols.groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("d"))
+    met = keep(c.join(d, "callee").select("caller", "callee", (F.col("c") * F.col("d")).alias("edges")))
+    back = met.groupBy(F.col("callee").alias("name")).agg(F.sum("edges").alias("callers"))
+    out = met.groupBy(F.col("caller").alias("name")).agg(F.sum("edges").alias("callees"))
+    none = F.lit(0)
+    return back.join(out, "name", "full_outer").select("name", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
 def name_degrees(e: DataFrame) -> DataFrame:
     """name, callers, callees: edges that end or start at the name."""
     ends = e.select(F.explode(F.array(F.struct(F.col("to_name").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("from_name").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x"))

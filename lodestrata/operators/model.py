@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import name_degrees
 
 DIRECTORIES, KEY_SYMBOLS, HOT_SPOTS = 15, 10, 10
 
@@ -26,9 +25,9 @@ def directories(files: DataFrame, symbols: DataFrame, most: int = DIRECTORIES) -
     return d.join(described, F.col("path") == F.col("dir"), "left").select("path", "file_count", F.coalesce("description", F.lit("no code symbols")).alias("description"))
 
 
-def key_symbols(symbols: DataFrame, edges: DataFrame, most: int = KEY_SYMBOLS) -> DataFrame:
-    """kind, name, file, callers, callees, rank of the symbols with the most edges; of equal ones the first."""
-    s = symbols.select("doc_id", "ord", "path", "kind", "name").join(name_degrees(edges), "name")
+def key_symbols(symbols: DataFrame, degrees: DataFrame, most: int = KEY_SYMBOLS) -> DataFrame:
+    """kind, name, file, callers, callees, rank of the symbols with the most edges; of equal ones the first. degrees: name, callers, callees."""
+    s = symbols.select("doc_id", "ord", "path", "kind", "name").join(degrees, "name")
     top = s.orderBy(F.desc(F.col("callers") + F.col("callees")), "doc_id", "ord").limit(most)
     return top.select("kind", "name", F.col("path").alias("file"), "callers", "callees", "doc_id", "ord")
 
@@ -49,13 +48,13 @@ def hot_spots(files: DataFrame, symbols: DataFrame, most: int = HOT_SPOTS) -> Da
     return sizes.join(n, "doc_id").orderBy(F.desc("symbols"), F.desc("lines"), "file").limit(most).select("file", "symbols", "lines")
 
 
-def build(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> dict:
+def build(files: DataFrame, symbols: DataFrame, degrees: DataFrame) -> dict:
     """The summary's parts as lists of dictionaries, and its text and tokens. Every part but languages, entry points and dependencies has a fixed length."""
     rows = lambda df: [r.asDict() for r in df.collect()]
     model = {
         "languages": rows(languages(files).orderBy(F.desc("files"), "language")),
         "structure": sorted(rows(directories(files, symbols)), key=lambda r: r["path"]),
-        "key_symbols": rows(key_symbols(symbols, edges)),
+        "key_symbols": rows(key_symbols(symbols, degrees)),
         "entry_points": [r.path for r in entry_points(files).orderBy("path").collect()],
         "dependencies": [r.name for r in dependencies(files).orderBy("name").collect()],
         "hot_spots": rows(hot_spots(files, symbols)),
@@ -84,9 +83,9 @@ def render(model: dict) -> str:
 
 
 def stats(files: DataFrame, postings: DataFrame, symbols: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """One row of counts."""
+    """One row of counts. edges: their number, as graph.edge_count() gives it."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [count(files, "files"), postings.agg(F.countDistinct("gram").alias("trigrams")), count(symbols, "symbols"), count(edges, "edges"), concepts.agg(F.count("*").alias("concept_insertions"), F.countDistinct("concept").alias("concepts"))]
+    parts = [count(files, "files"), postings.agg(F.countDistinct("gram").alias("trigrams")), count(symbols, "symbols"), edges, concepts.agg(F.count("*").alias("concept_insertions"), F.countDistinct("concept").alias("concepts"))]
     out = parts[0].withColumn("__k", F.lit(0))
     for p in parts[1:]:  # one row each
         out = out.join(F.broadcast(p.withColumn("__k", F.lit(0))), "__k")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import keep
 from .graph import neighbour_names
 from .structure import matches_in_symbols
 
@@ -39,7 +40,15 @@ def compress(symbols: DataFrame, layer: int, edges: DataFrame | None = None) ->
 
 
 def fit_budget(results: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """The first results whose tokens together are within the budget; the first one in any case."""
+    """The first results whose tokens together are within the budget; the first one in any case.
+
+    A result has a token at least, unless its text is empty, so that the first budget + 1
+    are all that is brought together; only if these fit, empty ones among them, are all.
+    """
+    first = keep(results.orderBy(*order).limit(max(0, budget) + 1))
+    held = first.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
+    if held.n <= max(0, budget) or held.tokens > budget:
+        results = first
     w = Window.orderBy(*order)
     run = results.withColumn("__sum", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__n", F.row_number().over(w))
     return run.where((F.col("__sum") <= budget) | (F.col("__n") == 1)).drop("__sum", "__n")

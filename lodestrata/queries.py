@@ -178,8 +178,10 @@ def concept_exists(spark, d):
 
 
 def bloom_exists(spark, d):
-    there = concepts.concepts(_docs(spark, d)).select("concept").distinct()
-    return concepts.Bloom(20_000).add(there, "concept").might_contain(there, "concept")
+    """All concepts, and names that are none: at one false positive in a million these stay absent."""
+    there = store.keep(concepts.concepts(_docs(spark, d)).select("concept").distinct())
+    absent = spark.createDataFrame([(f"absent-{i}",) for i in range(20)], "concept string")
+    return concepts.Bloom(there.count(), 1e-6).add(there, "concept").might_contain(there.unionByName(absent), "concept")
 
 
 def manifest_deps(spark, d):
@@ -229,8 +231,8 @@ def model_dependencies(spark, d):
 
 
 def key_symbols(spark, d):
-    _, symbols, edges = _prose(spark, d)
-    return model.key_symbols(symbols, edges).select("name", "file", "callers", "callees", "ord")
+    symbols, calls = corpus.prose_symbols(_docs(spark, d))
+    return model.key_symbols(symbols, graph.degrees(calls, symbols)).select("name", "file", "callers", "callees", "ord")
 
 
 def hot_spots(spark, d):
@@ -239,8 +241,9 @@ def hot_spots(spark, d):
 
 
 def index_stats(spark, d):
-    files, symbols, edges = _prose(spark, d)
-    return model.stats(files, search.postings(files), symbols, edges, concepts.concepts(files)).select("files", "trigrams", "symbols", "edges", "concepts")
+    files = _docs(spark, d)
+    symbols, calls = corpus.prose_symbols(files)
+    return model.stats(files, search.postings(files), symbols, graph.edge_count(calls, symbols), concepts.concepts(files)).select("files", "trigrams", "symbols", "edges", "concepts")
 
 
 def _listing(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +335,7 @@ SELECT *, CASE depth WHEN 1 THEN 'WILL BREAK' WHEN 2 THEN 'MAY BREAK' ELSE 'REVI
     "imported_by": """SELECT path FROM (SELECT url AS path, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) WHERE target = '/the'""",
     "concept_keywords": "SELECT DISTINCT doc_id, c AS concept FROM documents JOIN (VALUES " + ", ".join(f"('{k}', '{concepts.RENAMED.get(k, k)}')" for k in concepts.KEYWORDS) + ") k(p, c) ON contains(lower(text), p)",
     "concept_exists": f"WITH {_FILES} SELECT a.name, (CASE lower(a.name) WHEN 'txt' THEN (SELECT count(*) FROM files) WHEN '0.txt' THEN (SELECT count(*) FROM files WHERE doc_id = 0) ELSE (SELECT count(*) FROM files WHERE contains(lower(text), CASE lower(a.name) WHEN 'rest-api' THEN 'rest' ELSE lower(a.name) END)) END) > 0 AS present FROM (VALUES {', '.join(f'({x!r})' for x in ASKED)}) a(name)",
-    "bloom_exists": f"WITH {_FILES} SELECT DISTINCT concept, true AS present FROM (SELECT c AS concept FROM files JOIN (VALUES " + ", ".join(f"('{k}', '{concepts.RENAMED.get(k, k)}')" for k in concepts.KEYWORDS) + ") k(p, c) ON contains(lower(text), p) UNION ALL SELECT 'txt' FROM files UNION ALL SELECT doc_id::VARCHAR || '.txt' FROM files)",
+    "bloom_exists": f"WITH {_FILES} SELECT DISTINCT concept, true AS present FROM (SELECT c AS concept FROM files JOIN (VALUES " + ", ".join(f"('{k}', '{concepts.RENAMED.get(k, k)}')" for k in concepts.KEYWORDS) + ") k(p, c) ON contains(lower(text), p) UNION ALL SELECT 'txt' FROM files UNION ALL SELECT doc_id::VARCHAR || '.txt' FROM files) UNION ALL SELECT 'absent-' || i, false FROM range(20) r(i)",
     "lang_counts": fixtures.values_sql("LANGUAGES", "language, files"),
     "dir_summary": f"""WITH {_DEFS}, d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, count(*) AS file_count FROM files GROUP BY 1 ORDER BY 1 LIMIT 15), k AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, count(*) AS n FROM defs GROUP BY 1)
 SELECT path, file_count, coalesce(n::VARCHAR || CASE WHEN n = 1 THEN ' function' ELSE ' functions' END, 'no code symbols') AS description FROM d LEFT JOIN k USING (path)""",

@@ -98,6 +98,16 @@ class _Part(InputPartition):
         self.files = files
 
 
+def _text(root: str, path: str) -> str | None:
+    """The text of a file; None if it is gone or binary."""
+    try:
+        with open(os.path.join(root, path), "rb") as f:
+            raw = f.read()
+    except OSError:
+        return None
+    return None if b"\0" in raw[:SNIFF] else raw.decode("utf-8", "replace")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, root: str, texts: bool):
         self.root, self.texts = root, texts
@@ -115,16 +125,9 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         rows = []
         for i, path, size, mtime in partition.files:
-            text = None
-            if self.texts:
-                try:
-                    with open(os.path.join(self.root, path), "rb") as f:
-                        raw = f.read()
-                except OSError:
-                    continue
-                if b"\0" in raw[:SNIFF]:
-                    continue
-                text = raw.decode("utf-8", "replace")
+            text = _text(self.root, path) if self.texts else None
+            if self.texts and text is None:
+                continue
             rows.append((i, path, size, datetime.fromtimestamp(mtime, timezone.utc), text))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string())
@@ -147,3 +150,16 @@ def files(spark: SparkSession, root: str, texts: bool = True):
     """doc_id (rank by path), path, size, mtime, text of a tree that driver and executors see. texts=False lists only."""
     spark.dataSource.register(SourceTree)
     return spark.read.format("source_tree").option("path", root).option("texts", str(texts).lower()).load()
+
+
+def read(listing, root: str):
+    """The rows of a listing with their text: only these files are opened; binary and vanished ones are left out."""
+
+    def run(batches):
+        for b in batches:
+            texts = [_text(root, p) for p in b.column("path").to_pylist()]
+            b = pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+            yield b.filter(pa.array([t is not None for t in texts], pa.bool_()))
+
+    rows = listing.select("doc_id", "path", "size", "mtime")
+    return rows.mapInArrow(run, "doc_id long, path string, size long, mtime timestamp, text string")

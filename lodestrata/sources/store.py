@@ -62,3 +62,12 @@ def compare(cached: DataFrame, current: DataFrame) -> DataFrame:
     same = F.col("size_a").eqNullSafe(F.col("size_b")) & F.col("mtime_a").eqNullSafe(F.col("mtime_b"))
     state = F.when(F.col("in_a").isNull(), "new").when(F.col("in_b").isNull(), "deleted").when(same, "same").otherwise("changed")
     return a.join(b, "path", "full_outer").select("path", state.alias("state"))
+
+
+def prune(spark: SparkSession, root: str, most: int = 2) -> None:
+    """Delete all but the `most` latest snapshots under root: the current one, and those that readers may still use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for s in fs.listStatus(path) if s.getPath().getName().startswith("snapshot-")]
+    for s in sorted(found, key=lambda s: s.getModificationTime())[:-most]:
+        fs.delete(s.getPath(), True)

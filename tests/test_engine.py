@@ -174,13 +174,13 @@ def test_concepts_and_bloom(spark):
 
 def test_model(spark, parsed):
     files, symbols, edges = parsed
-    m = model.build(files, symbols, edges)
+    m = model.build(files, symbols, graph.name_degrees(edges))
     assert m["structure"] == [{"path": ".", "file_count": 3, "description": "1 class, 5 functions"}]
     assert m["languages"] == [{"language": "python", "files": 2}, {"language": "csv", "files": 1}]
     assert m["key_symbols"][0]["name"] == "helper" and m["dependencies"] == ["Python"]
     assert m["text"].startswith("# Codebase Mental Model\n\n## Languages\n- python: 2 files\n") and m["tokens"] == -(-len(m["text"]) // 4)
     empty = corpus(spark, [])
-    assert model.build(empty, symbols.limit(0), edges.limit(0))["text"] == "# Codebase Mental Model\n\n## Languages\n\n## Structure\n\n"
+    assert model.build(empty, symbols.limit(0), graph.name_degrees(edges.limit(0)))["text"] == "# Codebase Mental Model\n\n## Languages\n\n## Structure\n\n"
     many = corpus(spark, {f"d{i:02}/x.txt": "" for i in range(20)})
     assert sorted(r.path for r in model.directories(many, symbols.limit(0)).collect()) == [f"d{i:02}" for i in range(15)]
 
@@ -249,6 +249,52 @@ def test_cli(spark, tmp_path, capsys):
     assert '"signature":"def helper():"' in capsys.readouterr().out
 
 
+def test_cli_with_an_index(spark, tmp_path, capsys):
+    from lodestrata import cli
+
+    tree, index = tmp_path / "tree", f"file://{tmp_path}/index"
+    tree.mkdir()
+    for i in range(6):
+        (tree / f"f{i}.py").write_text(f"def name{i}():\n    return {i}\n")
+    (tree / "bin.py").write_bytes(b"\0name1")
+    run = lambda *a: (cli.main([*a, str(tree), "--index", index]), capsys.readouterr().out)
+    assert run("name1") == (0, "f1.py:1:def name1():\n")
+    assert run("-c", "name.")[1] == "6\n"  # more than half of the files: a scan
+    (tree / "f1.py").unlink()
+    (tree / "f9.py").write_text("name1 = 9\n")
+    (tree / "f2.py").write_text("name1 = name2 = 3\n")
+    assert run("name1")[1] == "f2.py:1:name1 = name2 = 3\nf9.py:1:name1 = 9\n"
+    assert run("-s", "return 3") == (0, "f3.py:1-2 function name3\ndef name3():\n    return 3\n")
+    assert run("--layer", "0", "return 4") == (0, "f4.py:1-2 function name4 (6 tokens)\n")
+    assert len(list((tmp_path / "index").glob("snapshot-*"))) == 2
+
+
+def test_server_commands(tmp_path, capsys):
+    from lodestrata import server
+
+    at = str(tmp_path / "s")
+    assert server.main([str(tmp_path), "--socket", at, "--status"]) == 1 and server.main([str(tmp_path), "--socket", at, "--stop"]) == 1
+    (tmp_path / "s.pid").write_text(str(os.getpid()))
+    assert server.main([str(tmp_path), "--socket", at, "--status"]) == 0 and server.main([str(tmp_path), "--socket", at]) == 1
+    assert capsys.readouterr().out.splitlines()[-1] == f"running: {os.getpid()}"
+
+
+def test_degrees_from_counts(spark, parsed):
+    files, symbols, edges = parsed
+    calls = graph.enclosed_calls(code.calls(code.parse(files)), symbols)
+    assert sorted(map(tuple, graph.degrees(calls, symbols).collect())) == sorted(map(tuple, graph.name_degrees(edges).collect()))
+
+
+def test_bloom_bits_are_those_of_the_items_one_by_one(spark):
+    b = concepts.Bloom(40)
+    items = spark.createDataFrame([(f"Item{i}",) for i in range(40)], "x string").repartition(5)
+    b.add(items.limit(10), "x").add(items, "x")
+    want = set()
+    for r in items.select(F.xxhash64(F.lower("x")).alias("a"), F.xxhash64(F.lower("x"), F.lit(1)).alias("b")).collect():
+        want |= {(r.a % b.bits + i * (r.b % b.bits)) % b.bits for i in range(b.hashes)}
+    assert {i for i in range(b.bits) if b.words[i >> 3] >> (i & 7) & 1} == want and b.insertions == 50
+
+
 def test_server(spark, tmp_path):
     from lodestrata.server import Server
 
