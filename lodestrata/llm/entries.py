@@ -23,4 +23,5 @@ SQL = {
     "op3_knn": knn.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op9_warc": warc.SQL,
+    "op10_suffix_dedup": suffix.SQL,
 }

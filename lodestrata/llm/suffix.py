@@ -418,3 +418,19 @@ def _merge(length: int):
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: strings of 400 bytes, one row per document."""
     return dedup(read(spark, sf_dir, "documents"), with_kept=False)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, 1024 * k AS base, substr(h, 2048 * k + 1, 2846) AS s FROM d, LATERAL (SELECT unnest(range(length(h) // 2048 + 1)) AS k)),
+g AS (SELECT r, base + i AS p, md5(substr(s, 2 * i + 1, 800)) AS m FROM c, LATERAL (SELECT unnest(range(least(1024, length(s) // 2 - 399))) AS i)),
+again AS (SELECT m FROM g GROUP BY m HAVING count(*) > 1),
+starts AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM g SEMI JOIN again USING (m)),
+numbered AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM starts),
+spans AS (SELECT r, k, min(p) AS s, max(p) + 400 AS e FROM numbered GROUP BY r, k),
+pieces AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS after FROM spans),
+cut AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * after + 1, 2 * (s - after)), '' ORDER BY s) AS kept FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN cut.r IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
