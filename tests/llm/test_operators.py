@@ -60,9 +60,12 @@ def slow_substring(rows, n):
     return Counter(out)
 
 
-def test_substring(spark, monkeypatch):
+@pytest.mark.parametrize(("flush", "pack"), [(500_000, 2), (40, 1), (7, 100), (1, 0)])
+def test_substring(spark, monkeypatch, flush, pack):
     monkeypatch.setattr(substring, "BLOCK", 16)
-    monkeypatch.setattr(substring, "PACK", 2)
+    monkeypatch.setattr(substring, "FLUSH", flush)
+    monkeypatch.setattr(substring, "PACK", pack)
+    monkeypatch.setattr(substring, "BUCKET_WINDOWS", 200)
     rng = np.random.default_rng(4)
     passages = [" ".join(rng.choice(["a", "b", "cé", "d"], 9)) for _ in range(4)]
     rows = [(i, " ".join(str(rng.choice(passages)) if rng.random() < 0.5 else " ".join(rng.choice(["x", "y", "z", "w", "v"], 7)) for _ in range(4))) for i in range(1, 60)]
