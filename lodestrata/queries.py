@@ -80,6 +80,12 @@ def indexed_search(spark, d):
     return search.indexed_search(files, store.keep(search.postings(files)), f"{LITERAL}|ndeas (the|of)", n).select("path", "doc_id", "line_number", "line")
 
 
+def indexed_scan(spark, d):
+    """A pattern that most files are candidates for: they are scanned, and the index isn't used."""
+    files = store.keep(_docs(spark, d))
+    return search.indexed_search(files, store.keep(search.postings(files)), PATTERN, files.count()).select("path", "doc_id", "line_number", "line")
+
+
 def line_offsets(spark, d):
     return structure.line_offsets(_docs(spark, d))
 
@@ -136,6 +142,18 @@ def budget_fit(spark, d):
     return semantic.semantic_search(files, symbols, PATTERN, 2, budget=2000).select("file", "name", "tokens")
 
 
+def result_json(spark, d):
+    files, symbols = _talks(spark, d)
+    return semantic.to_json(semantic.semantic_search(files, symbols, PATTERN, 0))
+
+
+def upgraded_first(spark, d):
+    files, symbols = _talks(spark, d)
+    found = [semantic.semantic_search(files, symbols, PATTERN, layer) for layer in (0, 2)]
+    out = semantic.upgrade_first(*found, 10**9, ["doc_id", "ord"])
+    return out.select("file", "name", F.coalesce("body", F.lit("")).alias("body"), "tokens")
+
+
 def call_edges(spark, d):
     return _prose(spark, d)[2]
 
@@ -265,6 +283,20 @@ def incremental_merge(spark, d):
     return after.select("doc_id", "path", F.octet_length("text").cast("long").alias("bytes"))
 
 
+def index_refresh(spark, d):
+    """An index of the earlier listing, saved, loaded and brought up to the present one: rows of files, and their trigrams."""
+    old, now = _listing(spark, d)
+    root = f"{store.folder(spark)}/index-{store.uuid.uuid4().hex[:12]}"
+    columns = ["doc_id", "path", "size", "mtime", "text"]
+    last = F.pmod("doc_id", F.lit(10))
+    now = now.withColumn("text", F.when(last == 2, F.concat("text", F.lit("\x01"))).otherwise(F.col("text")))
+    texts = lambda table: lambda listing: listing.join(table.select("path", "text"), "path").select(*columns)
+    for table in (old, now):
+        tables = incremental.refresh(spark, root, table.drop("text"), texts(table))
+    grams = tables["postings"].groupBy("doc_id").agg(F.count("*").alias("grams"))
+    return tables["files"].join(grams, "doc_id", "left").select("path", F.octet_length("text").cast("long").alias("bytes"), F.coalesce("grams", F.lit(0)).alias("grams"))
+
+
 def debounce_sessions(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("path"), "user_id", "ts")
     return changes.debounce(events, "6 hours", by="user_id").select("user_id", "start", F.array_join("paths", ",").alias("paths"), "n_events")
@@ -277,11 +309,11 @@ def predict_queries(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_search, text_search_ci, match_offsets, count_matches, files_with_matches, search_many, trigram_df, candidates_and, candidates_or, indexed_search,
-    line_offsets, enclosing_symbol, structural_search, structural_module_rows, semantic_l0, semantic_l1, semantic_l2, budget_fit,
+    text_search, text_search_ci, match_offsets, count_matches, files_with_matches, search_many, trigram_df, candidates_and, candidates_or, indexed_search, indexed_scan,
+    line_offsets, enclosing_symbol, structural_search, structural_module_rows, semantic_l0, semantic_l1, semantic_l2, budget_fit, result_json, upgraded_first,
     call_edges, edge_count, callers, callees, impact, imports, imported_by, concept_keywords, concept_exists, bloom_exists, manifest_deps, import_concepts,
     parsed_symbols, parsed_calls, parsed_imports, code_edges, lang_counts, dir_summary, entry_points, model_dependencies, key_symbols, hot_spots, index_stats,
-    stale_files, incremental_merge, debounce_sessions, predict_queries,
+    stale_files, incremental_merge, index_refresh, debounce_sessions, predict_queries,
 )}
 
 _FILES = "files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id::VARCHAR || '.txt' AS path, coalesce(text, '') AS text FROM documents)"
@@ -313,6 +345,7 @@ SQL = {
     "candidates_and": "SELECT doc_id FROM documents WHERE contains(text, 'the') AND contains(text, 'hea') AND contains(text, 'tio') AND contains(text, 'ion')",
     "candidates_or": "SELECT doc_id FROM documents WHERE contains(text, 'bly') OR contains(text, 'qui') AND contains(text, 'oie')",
     "indexed_search": f"WITH {_LINES} SELECT path, doc_id, line_number, line FROM lines WHERE regexp_matches(line, '{LITERAL}|ndeas (the|of)')",
+    "indexed_scan": f"WITH {_LINES} SELECT path, doc_id, line_number, line FROM lines WHERE regexp_matches(line, 'the.*tion')",
     "line_offsets": f"WITH {_LINES} SELECT doc_id, line_number, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM lines",
     "enclosing_symbol": f"WITH {_TURNS} SELECT doc_id, line_number, 'turn' || turn AS symbol, role AS kind FROM hits",
     "structural_search": f"WITH {_TURNS} SELECT doc_id, 'turn' || turn AS symbol_name, role AS symbol_kind, line_start, line_end, match_line_number, match_line FROM first",
@@ -323,6 +356,8 @@ r AS (SELECT path AS file, defs.name, line_number AS line_start, trim(split_part
 SELECT *, {_tokens("file || ':' || line_start || ':function ' || name || ' sig:' || signature || ' calls:[' || coalesce('\"' || replace(calls, ',', '\", \"') || '\"', '') || '] called_by:[' || coalesce('\"' || replace(called_by, ',', '\", \"') || '\"', '') || ']'")} AS tokens FROM r""",
     "semantic_l2": f"WITH {_TURNS} SELECT path AS file, 'turn' || turn AS name, role AS kind, line_start, line_end, text AS body, {_tokens('text')} AS tokens FROM first",
     "budget_fit": f"WITH {_TURNS}, s AS (SELECT *, {_tokens('text')} AS tokens FROM first), r AS (SELECT *, sum(tokens) OVER w AS upto, row_number() OVER w AS k FROM s WINDOW w AS (ORDER BY doc_id, match_line_number ROWS UNBOUNDED PRECEDING)) SELECT path AS file, 'turn' || turn AS name, tokens FROM r WHERE upto <= 2000 OR k = 1",
+    "result_json": f"""WITH {_TURNS} SELECT '{{"file":"' || path || '","name":"turn' || turn || '","kind":"' || role || '","line_range":{{"start":' || line_start || ',"end":' || line_end || '}},"tokens":' || {_tokens(_HEAD)} || '}}' AS json FROM first""",
+    "upgraded_first": f"WITH {_TURNS}, k AS (SELECT *, row_number() OVER (ORDER BY doc_id, match_line_number) = 1 AS one FROM first) SELECT path AS file, 'turn' || turn AS name, CASE WHEN one THEN text ELSE '' END AS body, CASE WHEN one THEN {_tokens('text')} ELSE {_tokens(_HEAD)} END AS tokens FROM k",
     "call_edges": f"WITH {_DEFS} SELECT * FROM edges",
     "edge_count": f"WITH {_DEFS} SELECT count(*) AS edges FROM edges",
     "callers": f"WITH {_DEFS} SELECT from_file AS file, from_name AS name FROM edges WHERE to_name = '{NAME}'",
@@ -347,6 +382,9 @@ cc AS (SELECT DISTINCT c AS concept FROM files JOIN (VALUES """ + ", ".join(f"('
 SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM g) AS trigrams, (SELECT count(*) FROM defs) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM cc) AS concepts""",
     "stale_files": f"WITH {_FILES} SELECT path, CASE doc_id % 10 WHEN 0 THEN 'deleted' WHEN 1 THEN 'new' WHEN 2 THEN 'changed' ELSE 'same' END AS state FROM files",
     "incremental_merge": f"WITH {_FILES} SELECT doc_id, path, strlen(text) + CASE WHEN doc_id % 10 IN (1, 2) THEN 8 ELSE 0 END AS bytes FROM files WHERE doc_id % 10 <> 0",
+    "index_refresh": """WITH n AS (SELECT *, source || '/' || lang || '/' || doc_id::VARCHAR || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 10 = 2 THEN chr(1) ELSE '' END AS t FROM documents WHERE doc_id % 10 <> 0), h AS (SELECT path, hex(encode(t)) AS h FROM n),
+c AS (SELECT path, unnest([substr(h, 512 * k + 1, 516) FOR k IN range(length(h) // 512 + 1)]) AS s FROM h), g AS (SELECT DISTINCT path, unnest([substr(s, 2 * i + 1, 6) FOR i IN range(greatest(length(s) // 2 - 2, 0))]) AS g FROM c), w AS (SELECT path, count(*) AS grams FROM g GROUP BY path)
+SELECT path, strlen(t)::BIGINT AS bytes, coalesce(grams, 0) AS grams FROM n LEFT JOIN w USING (path)""",
     "debounce_sessions": """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, min(ts) AS start, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths, count(*) AS n_events FROM s GROUP BY user_id, k""",

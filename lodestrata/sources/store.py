@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -23,6 +24,17 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, or one of our own on a single machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its input has fewer splits than there are cores; a large input stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
