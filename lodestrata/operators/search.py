@@ -13,8 +13,8 @@ from ..plans import regex
 
 #: Beyond this share of all files a candidate list saves nothing, and the files are scanned.
 SCAN_SHARE = 0.5
-#: Candidates up to which their ids are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Candidates up to which their ids are written into the scan's filter, and up to which they are broadcast.
+FEW_IDS, BROADCAST_IDS = 500, 1_000_000
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -104,11 +104,14 @@ def candidates(index: DataFrame, plan) -> DataFrame | None:
 
 
 def indexed_search(files: DataFrame, index: DataFrame, pattern: str, file_count: int | None = None) -> DataFrame:
-    """As search(), over the candidate files only. With file_count, the candidates are counted first: more than SCAN_SHARE of the files are scanned instead, and few ids are broadcast."""
+    """As search(), over the candidate files only. With file_count, the candidates are counted first: a few ids become a filter of the scan; more than SCAN_SHARE of the files are scanned instead; up to BROADCAST_IDS ids are broadcast."""
     found = candidates(index, regex.of_pattern(pattern))
     if found is None:
         return search(files, pattern)
     if file_count is not None:
+        ids = [r.doc_id for r in found.limit(FEW_IDS + 1).collect()]
+        if len(ids) <= min(FEW_IDS, SCAN_SHARE * file_count):  # the ids go into the scan's filter, which leaves out row groups and pages
+            return search(files.where(F.col("doc_id").isin(ids)), pattern)
         n = found.count()
         if n > SCAN_SHARE * file_count:
             return search(files, pattern)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
+#: Bytes of a row group of texts.
+FILE_GROUP = 4 << 20
 TABLES = ("files", "postings", "symbols", "edges", "concepts")
 
 
@@ -49,6 +51,9 @@ def save(tables: dict[str, DataFrame], root: str) -> str:
             raise ValueError(f"no table {name}")
         if name == "postings":
             df = df.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id")
+        if name == "files":  # a few ids are found by the statistics of small row groups
+            df.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", FILE_GROUP).parquet(f"{at}/{name}")
+            continue
         df.write.parquet(f"{at}/{name}")
     spark = next(iter(tables.values())).sparkSession
     meta = spark.createDataFrame([(VERSION, at, ",".join(tables))], "version int, snapshot string, tables string")
