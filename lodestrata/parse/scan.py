@@ -31,11 +31,14 @@ _W = rb"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*"
 
 def _form(pattern: bytes, kind: str, body: str = "brace") -> tuple[re.Pattern, str, str]:
     """A declaration: where it starts, its kind, and what ends it. A group `n` holds the name."""
-    return re.compile(rb"(?m)^[ \t]*" + pattern.replace(b"NAME", b"(?P<n>" + _W + b")")), kind, body
+    return re.compile(rb"(?m)^[ \t]*+" + pattern.replace(b"NAME", b"(?P<n>" + _W + b")")), kind, body
 
 
 _MODS = rb"(?:(?:public|private|protected|internal|static|final|abstract|sealed|override|virtual|async|partial|open|export|default|declare|const|unsafe|extern|pub(?:\([^)]*\))?|inline|readonly|implicit|lazy|case|synchronized|native|fileprivate|mutating|data)\s+(?:\"[^\"]*\"\s+)?)*"
-_JAVA_METHOD = _MODS + rb"(?:<[^>\n]*>\s*)?(?!return\b|new\b|else\b|throw\b|if\b|while\b|for\b|switch\b)[\w.$<>\[\],? \x80-\xff]*?[\w>\]]\s+NAME\s*\([^;{}]*\)[^;{}=]*(?=\{)"
+#: A type and a name, with or without a body; a constructor has no type and is none.
+_TYPED = _MODS + rb"+(?:<[^>\n]*>\s*)?(?!(?:return|new|else|throw|if|while|for|switch|await|yield|assert|case|goto|using|delegate|do|try|in|is|package|import|namespace)\b)[\w.$<>\[\],? \x80-\xff]*?[\w>\]]\s+NAME\s*"
+_JAVA_METHOD = _TYPED + rb"\([^;{}]*\)[^;{}=]*(?=\{)"
+_JAVA_BODILESS = _TYPED + rb"\([^;{}=]*\)(?:\s*throws\s[^;{}()=]*|\s*=>[^;{}]*)?\s*(?=;)"
 _C_FUNCTION = rb"(?!return\b|else\b|if\b|while\b|for\b|switch\b|do\b|typedef\b|struct\b[^(]*\{)[\w:<>,*&~ \t\x80-\xff]*?[\w>*&][\s*&]+(?P<n>[\w:~\x80-\xff]+)\s*\([^;{}]*\)[^;{}()]*(?=\{)"
 _SCRIPT = [
     _form(rb"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*NAME", "function"),
@@ -48,15 +51,15 @@ FORMS: dict[str, list[tuple[re.Pattern, str, str]]] = {
     "javascript": _SCRIPT,
     "typescript": _SCRIPT,
     "go": [_form(rb"func\s+NAME", "function"), _form(rb"func\s*\([^)]*\)\s*NAME", "method"), _form(rb"type\s+NAME", "struct", "item")],
-    "java": [_form(_MODS + rb"class\s+NAME", "class"), _form(_MODS + rb"interface\s+NAME", "interface"), _form(_MODS + rb"enum\s+NAME", "enum"), _form(_JAVA_METHOD, "method")],
+    "java": [_form(_MODS + rb"class\s+NAME", "class"), _form(_MODS + rb"interface\s+NAME", "interface"), _form(_MODS + rb"enum\s+NAME", "enum"), _form(_JAVA_METHOD, "method"), _form(_JAVA_BODILESS, "method", "bodiless")],
     "c": [_form(_C_FUNCTION, "function"), _form(rb"(?:typedef\s+)?struct\s+NAME\s*(?=\{)", "struct"), _form(rb"(?:typedef\s+)?enum\s+NAME\s*(?=\{)", "enum")],
     "cpp": [_form(_C_FUNCTION, "function"), _form(rb"(?:template\s*<[^>]*>\s*)?class\s+NAME[^;{}()]*(?=\{)", "class"), _form(rb"(?:typedef\s+)?struct\s+NAME[^;{}()]*(?=\{)", "struct"), _form(rb"(?:typedef\s+)?enum\s+(?:class\s+)?NAME[^;{}()]*(?=\{)", "enum")],
     "ruby": [_form(rb"def\s+(?:self\.)?(?P<n>\w+[?!=]?)", "method", "end"), _form(rb"class\s+NAME", "class", "end"), _form(rb"module\s+NAME", "module", "end")],
     "php": [_form(_MODS + rb"function\s+&?NAME", "function"), _form(_MODS + rb"class\s+NAME", "class"), _form(rb"interface\s+NAME", "interface"), _form(rb"trait\s+NAME", "trait"), _form(rb"enum\s+NAME", "enum")],
     "swift": [_form(_MODS + rb"func\s+NAME", "function"), _form(_MODS + rb"class\s+NAME", "class"), _form(_MODS + rb"struct\s+NAME", "struct"), _form(_MODS + rb"protocol\s+NAME", "interface"), _form(_MODS + rb"enum\s+NAME", "enum")],
-    "csharp": [_form(_MODS + rb"class\s+NAME", "class"), _form(_MODS + rb"interface\s+NAME", "interface"), _form(_MODS + rb"struct\s+NAME", "struct"), _form(_MODS + rb"enum\s+NAME", "enum"), _form(_JAVA_METHOD, "method")],
+    "csharp": [_form(_MODS + rb"class\s+NAME", "class"), _form(_MODS + rb"interface\s+NAME", "interface"), _form(_MODS + rb"struct\s+NAME", "struct"), _form(_MODS + rb"enum\s+NAME", "enum"), _form(_JAVA_METHOD, "method"), _form(_JAVA_BODILESS, "method", "bodiless")],
     "scala": [_form(_MODS + rb"def\s+NAME", "function", "item"), _form(_MODS + rb"class\s+NAME", "class", "item"), _form(_MODS + rb"object\s+NAME", "class", "item"), _form(_MODS + rb"trait\s+NAME", "trait", "item")],
-    "lua": [_form(rb"(?:local\s+)?function\s+(?P<n>[\w.:]+)", "function", "end"), _form(rb"(?:local\s+)?(?P<n>[\w.]+)\s*=\s*function\b", "function", "end")],
+    "lua": [_form(rb"(?:local\s+)?function\s+(?P<n>[\w.:]+)", "function", "end")],
     "zig": [_form(_MODS + rb"fn\s+NAME", "function")],
     "bash": [_form(rb"(?:function\s+(?P<n>[\w-]+)\s*(?:\(\s*\))?|(?P<m>[\w-]+)\s*\(\s*\))\s*(?=\{)", "function")],
     "hcl": [_form(rb"(?P<n>\w+)(?:[ \t]+(?:\"[^\"\n]*\"|\w+))*[ \t]*(?=\{)", "function")],
@@ -150,7 +153,9 @@ def _scanned(src: bytes, lang: str) -> list[tuple[str, str, int, int]]:
             stop = code.find(b";", m.end())
             line = code.find(b"\n", m.end())
             line = len(code) if line < 0 else line
-            if body == "end":
+            if body == "bodiless":
+                end = stop + 1
+            elif body == "end":
                 end = _word_end(code, start, lang)
             elif body == "statement":
                 end = stop + 1 if 0 <= stop < brace else ends.get(brace, line) if brace < line else line
@@ -163,7 +168,19 @@ def _scanned(src: bytes, lang: str) -> list[tuple[str, str, int, int]]:
             else:
                 end = ends.get(brace, line)
             found.setdefault(start, (kind, name, start, end))
-    return list(found.values())
+    return _methods(found) if lang == "php" else list(found.values())
+
+
+def _methods(found: dict[int, tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """A function right within a class or its like is a method."""
+    out, around = [], []
+    for kind, name, start, end in sorted(found.values(), key=lambda s: (s[2], -s[3])):
+        while around and around[-1][1] <= start:
+            around.pop()
+        inner = bool(around) and around[-1][0] not in ("function", "method")
+        out.append(("method" if kind == "function" and inner else kind, name, start, end))
+        around.append((out[-1][0], end))
+    return out
 
 
 def _python(src: bytes) -> tuple[list[tuple[str, str, int, int]], list[Call]]:

@@ -149,6 +149,35 @@ def test_layers_and_budget(spark, parsed):
     assert [r.body is not None for _, r in sorted(up.items())] == [True] + [False] * (len(up) - 1)
 
 
+LANGUAGES = {
+    "csharp": (
+        "using System;\n\nnamespace Shop {\n  public interface IPrice {\n    decimal Of(string id);\n  }\n  public class Cart : IPrice {\n    private int n;\n    public Cart(int n) { this.n = n; }\n    public decimal Of(string id) {\n      await Load(id);\n      return Lookup(id);\n    }\n    int Twice(int x) => x * 2;\n  }\n  struct P { public int X; }\n  enum Kind { A, B }\n}\n",
+        ["interface IPrice 4-6", "method Of 5-5", "class Cart 7-15", "method Of 10-13", "method Twice 14-14", "struct P 16-16", "enum Kind 17-17"],
+        {"Load", "Lookup"},
+    ),
+    "java": (
+        "interface Shape {\n  double area() throws Bad;\n}\n\nclass Box implements Shape {\n  Box(int n) {\n    init(n);\n  }\n  public double area() {\n    return mul(2, 3);\n  }\n}\n",
+        ["interface Shape 1-3", "method area 2-2", "class Box 5-12", "method area 9-11"],
+        {"init", "mul"},
+    ),
+    "php": ("<?php\nuse App\\Model;\n\nclass Cart {\n  public function total($x) {\n    return add($x);\n  }\n}\n\ninterface Priced {\n}\n\nfunction add($a) {\n  return $a + 1;\n}\n", ["class Cart 4-8", "method total 5-7", "interface Priced 10-11", "function add 13-15"], {"add"}),
+    "swift": ("import Foundation\n\nstruct Point {\n  func norm() -> Double {\n    return root(x)\n  }\n}\n\nprotocol Shape {\n}\n\nfunc root(_ x: Double) -> Double {\n  return x\n}\n", ["struct Point 3-7", "function norm 4-6", "interface Shape 9-10", "function root 12-14"], {"root"}),
+    "scala": ("object Main {\n  def run(x: Int): Int = {\n    twice(x)\n  }\n}\n\nclass Box {\n  def twice(x: Int) = x + x\n}\n\ntrait Show\n", ["class Main 1-5", "function run 2-4", "class Box 7-9", "function twice 8-8", "trait Show 11-11"], {"twice"}),
+    "lua": ('local m = require("mod")\n\nfunction add(a, b)\n  return twice(a) + b\nend\n\nlocal function twice(x)\n  return x * 2\nend\n\nlocal f = function(y) return y end\n', ["function add 3-5", "function twice 7-9"], {"require", "twice"}),
+    "zig": ("pub fn add(a: i32, b: i32) i32 {\n    return twice(a) + b;\n}\n\nfn twice(x: i32) i32 {\n    return x * 2;\n}\n", ["function add 1-3", "function twice 5-7"], {"twice"}),
+    "bash": ('greet() {\n  say "$1"\n}\n\nfunction say {\n  echo "$1"\n}\n', ["function greet 1-3", "function say 5-7"], {"say", "echo"}),
+    "hcl": ('variable "name" {\n  default = "x"\n}\n\nresource "aws_s3_bucket" "b" {\n  bucket = "y"\n}\n', ["function variable 1-3", "function resource 5-7"], set()),
+    "cpp": ("#include <vector>\n\nnamespace geo {\nclass Box {\n public:\n  int area() const {\n    return mul(w, h);\n  }\n};\n\nstruct P { int x; };\n\nenum class Kind { A };\n\nint mul(int a, int b) {\n  return a * b;\n}\n}\n", ["class Box 4-9", "function area 6-8", "struct P 11-11", "enum Kind 13-13", "function mul 15-17"], {"mul"}),
+}
+
+
+@pytest.mark.parametrize("lang", LANGUAGES)
+def test_languages_that_the_fixture_tree_has_not(lang):
+    src, symbols, calls = LANGUAGES[lang]
+    assert [f"{s.kind} {s.name} {s.line_start}-{s.line_end}" for s in scan.symbols(src.encode(), lang)] == symbols
+    assert {c.name for c in scan.calls(src.encode(), lang)} == calls
+
+
 def test_symbols_of_501_lines_are_left_out():
     src = ("class Big:\n    def small(self):\n        pass\n" + "    x = 1\n" * 520).encode()
     assert [s.name for s in scan.symbols(src, "python")] == ["small"]
