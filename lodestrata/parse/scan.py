@@ -217,6 +217,10 @@ _CALL = re.compile(rb"(?P<n>" + _W + rb"(?:(?:\.|::|->|\?\.|\\)" + _W + rb")*)(?
 _DECLARES = re.compile(rb"(?:\b(?:fn|func|def|function|class|struct|interface|enum|trait|new)\s+|\bfunc\s*\([^)]*\)\s*)$")
 
 
+#: A constructor: a name alone before its parameters and body.
+_CONSTRUCTOR = re.compile(rb"(?m)^[ \t]*+" + _MODS + rb"+(?P<n>" + _W + rb")\s*\([^;{}()]*\)[^;{}=]*(?=\{)")
+
+
 def calls(src: bytes, lang: str) -> list[Call]:
     """The names that a file calls and where: the last part behind a dot (for C and C++ behind ::); Rust keeps its :: paths."""
     if lang == "python":
@@ -230,10 +234,11 @@ def _called(src: bytes, lang: str) -> list[Call]:
         return [Call(m[1].decode("utf-8", "replace"), m.start(1)) for m in re.finditer(rb"(?m)(?:^|[;|&({`]|\$\(|\b(?:then|do|else)\b)[ \t]*([A-Za-z_./][\w./-]*)(?=[ \t\n;|&)]|\Z)", code) if m[1].decode() not in ("if", "then", "else", "fi", "for", "while", "do", "done", "case", "esac", "function", "in")]
     declared = {start for _, _, start, _ in _scanned(src, lang)} if lang != "python" else set()
     heads = sorted(declared)
+    constructors = {m.start("n") for m in _CONSTRUCTOR.finditer(code) if m["n"].decode("utf-8", "replace") not in _KEYWORDS} if lang in ("java", "csharp") else set()
     found = []
     for m in _CALL.finditer(code):
         name = m["n"].decode("utf-8", "replace")
-        if m["bang"] and lang != "rust":
+        if m["bang"] and lang != "rust" or m.start() in constructors:
             continue
         before = code[max(0, m.start() - 120) : m.start()]
         if _DECLARES.search(before) and not before.rstrip().endswith(b"new"):
