@@ -93,5 +93,16 @@ def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id", prefix:
     return left[id_col].eqNullSafe(right[f"{prefix}id"]) & (left["key"] == right[f"{prefix}key"]) & (left["key2"] == right[f"{prefix}key2"])
 
 
+def one_row_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs, with all its columns, for each of chosen (__id, __key, __key2, times: how many rows have that id and text). Few are repeated, and only those are brought together."""
+    own = dict(zip(KEYS, text_keys(F.col(text_col)), strict=True))
+    same = docs[id_col].eqNullSafe(chosen["__id"]) & (own["key"] == chosen["__key"]) & (own["key2"] == chosen["__key2"])
+    alone = docs.join(chosen.where("times = 1"), same, "left_semi")
+    several = chosen.where("times > 1")
+    if several.isEmpty():
+        return alone
+    return alone.unionByName(docs.join(several, same).dropDuplicates(["__id", "__key", "__key2"]).select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import KEYS, arrow_map, one_row_each, table, text_keys
 
 SEED = 42
 BANDS = 4
@@ -252,8 +252,8 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def clusters(docs: DataFrame, k: int = 3, radius: int = 2, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`keep`, fingerprint (16 hex digits) and component_id, the smallest id that links lead to."""
+def clusters(docs: DataFrame, k: int = 3, radius: int = 2, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", with_label: bool = False) -> DataFrame:
+    """`keep`, fingerprint (16 hex digits) and component_id, the smallest id that links lead to; with_label, also label, a fingerprint of the component."""
     rows = table(fingerprints(docs, k, tuple(keep), text_col), "simhash-rows")
     ids = rows.groupBy("__fp").agg(F.min(F.col(id_col)).alias("least"))
     ids = table(ids, "simhash-ids")
@@ -261,17 +261,20 @@ def clusters(docs: DataFrame, k: int = 3, radius: int = 2, keep: tuple[str, ...]
     named = ids.join(labels, ids["__fp"] == labels["node"], "left").select("__fp", "least", F.coalesce("label", "__fp").alias("label"))
     named = table(named, "simhash-labels")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = table(named.join(smallest, "label").select(F.col("__fp").alias("__of"), "component_id"), "simhash-components")
+    of = table(named.join(smallest, "label").select(F.col("__fp").alias("__of"), "component_id", "label"), "simhash-components")
     out = rows.join(of, F.col("__fp") == F.col("__of"))
-    return out.select(*keep, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*keep, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id", *(["label"] if with_label else []))
 
 
 def one_of_each(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component (and rows without an id that are linked to none with one), with all their columns."""
-    found = clusters(docs, k, radius, (id_col,), id_col, text_col)
-    chosen: Column = F.col(id_col).isNotNull() & (F.col(id_col) == F.col("component_id")) | F.col("component_id").isNull()
-    kept = found.where(chosen).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of docs for each component, with all its columns: that with the smallest id (none comes last), then text key, then any of equal rows."""
+    d = docs.select(F.col(id_col).alias("__id"), *(key.alias(f"__{name}") for name, key in zip(KEYS, text_keys(F.col(text_col)), strict=True)), F.col(text_col).alias("text"))
+    row = ["__id", *(f"__{c}" for c in KEYS)]
+    found = table(clusters(d, k, radius, tuple(row), "__id", "text", with_label=True), "simhash-clusters")
+    chosen = found.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), *row)).alias("least")).select("least.*").drop("none")
+    times = found.groupBy(*row).agg(F.count("*").alias("times")).withColumnsRenamed({c: c[1:] for c in row})
+    same = F.col("__id").eqNullSafe(F.col("_id")) & (F.col("__key") == F.col("_key")) & (F.col("__key2") == F.col("_key2"))
+    return one_row_each(docs, table(chosen.join(times, same).select(*row, "times"), "simhash-chosen"), id_col, text_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -74,3 +74,13 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (7, "q r s t u v"), (7, "q r s t u v")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.clusters(df).collect())
     assert got == [(0, 0), (0, 0), (7, 7), (7, 7)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "one two three four five six seven", "words of quite another kind stand in here"
+    rows = [(4, a), (2, a), (2, a), (None, a), (None, b), (None, b), (7, ""), (8, None), (9, "x y"), (9, b + " and more of them to read")]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, key int, label string")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(2, a), (None, b), (7, ""), (9, "x y"), rows[-1]]))
+    assert simhash.one_of_each(df.limit(0)).count() == 0
