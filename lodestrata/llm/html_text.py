@@ -391,6 +391,15 @@ div.related-posts ul li | 8 | 8 | 0
 div.related-posts p | 6 | 0 | 0
 div.share | 4 | 0 | 0
 
+div | 2 | 2 | 0
+p | 16 | 0 | 1
+p | 4 | 0 | 1
+div | 3 | 3 | 0
+p | 21 | 0 | 1
+p | 5 | 0 | 1
+p | 24 | 0 | 1
+div | 2 | 2 | 0
+
 div p | 12 | 0 | 0
 div p | 5 | 2 | 0
 div p | 30 | 0 | 0
