@@ -63,7 +63,7 @@ def build(files: DataFrame, symbols: DataFrame, degrees: DataFrame) -> dict:
     return model | {"text": said, "tokens": -(-len(said.encode()) // 4)}
 
 
-#: Sections in their order: title, part, how a row is said, whether an empty one is shown, whether a blank line follows.
+#: The sections in their order, with title, part, how a row is said, whether an empty one is shown, whether a blank line follows.
 SECTIONS = (
     ("Languages", "languages", lambda r: f"{r['language']}: {r['files']} files", True, True),
     ("Structure", "structure", lambda r: f"{r['path']} ({r['file_count']} files) -- {r['description']}", True, True),
