@@ -11,10 +11,12 @@ and aren't sent, so that most documents send nothing.
 
 Links: first each shingle's most central set, that with the smallest share of shingles of
 its own, is held against all others that sent it; what that links has one label. Then
-the pairs of different labels that share a sent shingle are verified too, so far as they
-could reach `least` by their sizes, by the shingle's places and by a bound on what they
-have in common, from counts in 128 classes of hashes; other pairs are never made. A pair
-that is left out is linked already, so the components are those of all similar pairs.
+labels are one family if sets of theirs share a sent shingle and could reach `least` by
+their sizes, by the shingle's places and by a bound on what they have in common, from
+counts in 128 classes of hashes. Each set of a family's labels comes once to the task that
+counts exactly what the family's sets have in common. Neither step gives the pairs: only
+as many as join what they found, fewer than sets, however many sets are alike. A pair that
+is left out is linked already, so the components are those of all similar pairs.
 
 Defined cases: null text is as empty; of each component one row stays, the one with the
 smallest id (a null id comes last), then text key, then any of equal rows; an empty table
@@ -37,8 +39,10 @@ from .simhash import _LOWER, components
 
 #: Bytes of text to a shingle, about; only the sketch's size depends on it.
 SHINGLE_BYTES = 6
-#: Rows of the second round's pairs that a task compares at once.
+#: Rows of a shingle that are held against one at once.
 ROWS = 1 << 14
+#: A family of more sets, or bytes of sets, is compared in chunks.
+CHUNK, CHUNK_BYTES = 4096, 8 << 20
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -130,29 +134,32 @@ def links(rows: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], least
     one = verified(table(arrow_map(both.select("a", "b", "x", "y"), promising, "a long, b long"), "near-1-pairs"), "near-1")
     labels = components(one)
     labels = labels.select(F.col("node").alias("__n"), "label")
-    rest = met.join(labels, F.col("node") == F.col("__n"), "left").select("h", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    rest = met.join(labels, F.col("node") == F.col("__n"), "left").select("h", "hub", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     mixed = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("h")
-    rest = rest.join(table(mixed, "near-mixed"), "h", "left_semi").join(signed.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).drop("__n")
+    rest = table(rest.join(table(mixed, "near-mixed"), "h", "left_semi"), "near-rest")
+    signs = rest.join(signed.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).drop("__n")
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def related(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def group() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda r: r[1])  # by size
-            node, n, place, label = np.array([r[:4] for r in held], np.int64).T
-            sig = _signatures(r[4] for r in held)
-            for i in range(len(held) - 1):
-                end = np.searchsorted(n, (n[i] + 1e-6) / least, side="right")
-                j = np.arange(i + 1, end)
+            held.sort(key=lambda r: r[2])  # by size
+            hub, node, n, place, label = np.array([r[:5] for r in held], np.int64).T
+            sig = _signatures(r[5] for r in held)
+            low, high = np.searchsorted(n, least * n - 1e-6), np.searchsorted(n, (n + 1e-6) / least, side="right")
+
+            def near(i: int, now: np.ndarray) -> np.ndarray:
+                j = np.arange(low[i], high[i])
                 common = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1) + np.minimum(place[i], place[j])
-                j = j[(label[j] != label[i]) & (common >= least * (n[i] + n[j] - common) - 1e-6)]
-                for at in range(0, len(j), ROWS):
-                    some = j[at : at + ROWS]
-                    other = node[some[_could(sig[i], sig[some], least)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], names=["a", "b"])
+                j = j[(now[j] != now[i]) & (node[j] != hub[i]) & (common >= least * (n[i] + n[j] - common) - 1e-6)]
+                return np.concatenate([np.zeros(0, np.int64), *(some[_could(sig[i], sig[some], least)] for some in (j[at : at + ROWS] for at in range(0, len(j), ROWS)))])
 
-        for b in batches:
-            for h, *row in zip(*(b.column(c).to_pylist() for c in ("h", "node", "n", "place", "label", "sig")), strict=True):
+            a, b = joined(label, np.flatnonzero(node != hub), near)  # the hub's pairs are settled
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(label[a]), pa.array(label[b])], names=["a", "b"])
+
+        for batch in batches:
+            for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "hub", "node", "n", "place", "label", "sig")), strict=True):
                 if h != key:
                     if len(held) > 1:
                         yield from group()
@@ -161,10 +168,82 @@ def links(rows: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], least
         if len(held) > 1:
             yield from group()
 
-    second = arrow_map(rest.repartition(tasks, "h").sortWithinPartitions("h"), pairs, "a long, b long").distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = table(second.join(done, ["a", "b"], "left_anti"), "near-second")
-    return one.unionByName(verified(second, "near-2"))
+    second = table(arrow_map(signs.repartition(tasks, "h").sortWithinPartitions("h"), related, "a long, b long").distinct(), "near-second")
+    family = components(second).select(F.col("node").alias("__l"), F.col("label").alias("family"))
+    members = table(rest.select("node", "label").distinct().join(family, F.col("label") == F.col("__l")).select("node", "label", "family"), "near-families")
+    return one.unionByName(table(within(members.join(sets_of(members.select("node"), "near-2"), "node"), least, tasks), "near-2-verified"))
+
+
+def joined(label: np.ndarray, rows: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i, j that join the labels as all pairs would that near(i, labels by now) gives, one less than the labels at most. near gives rows for those of `rows`, but for the most frequent label: one of a pair of different labels isn't of it."""
+    values, now, times = np.unique(label, return_inverse=True, return_counts=True)
+    left, apart = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], len(values)
+    for i in rows[now[rows] != times.argmax()].tolist():
+        if apart == 1:
+            break
+        j = near(i, now)
+        others, at = np.unique(now[j], return_index=True)
+        at, others = at[others != now[i]], others[others != now[i]]
+        if len(others):
+            left.append((np.full(len(others), i), j[at]))
+            now[np.isin(now, others)] = now[i]
+            apart -= len(others)
+    return tuple(np.concatenate(x) for x in zip(*left, strict=True))
+
+
+def similar_rows(sets: list[np.ndarray], label: np.ndarray, first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of similarity `least` or more that join the labels as all such pairs would; if `first` isn't 0, only pairs of one of the first ones and another. Common shingles are counted for all sets at once."""
+    size = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    _, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held_by = np.repeat(np.arange(len(sets)), size)[np.argsort(of, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(times)[:-1]])
+
+    def near(i: int, now: np.ndarray) -> np.ndarray:
+        s = of[starts[i] : starts[i + 1]]
+        s = s[times[s] > 1]
+        n = times[s]
+        at = np.repeat(begin[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(held_by[at], minlength=len(sets))
+        good = (now != now[i]) & (common >= least * (size[i] + size - common) - 1e-9)
+        if first:
+            good &= (np.arange(len(sets)) < first) != (i < first)
+        return np.flatnonzero(good)
+
+    return joined(label, np.arange(len(sets)), near)
+
+
+def within(members: DataFrame, least: float, tasks: int) -> DataFrame:
+    """a, b: pairs of nodes that connect all pairs of similarity `least` or more of one family. members: node, label, family, shingles. A large family is cut into chunks that meet pair by pair."""
+    many = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.length("shingles")) / CHUNK_BYTES)).cast("int")
+    counts = members.groupBy("family").agg(many.alias("chunks")).withColumnRenamed("family", "__f")
+    met = members.join(counts, F.col("family") == F.col("__f"))
+    met = met.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    by = ["family", "low", "high"]
+    met = met.select("family", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("second"), "node", "label", "shingles")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def group() -> Iterator[pa.RecordBatch]:
+            rows = sides[0] + sides[1]
+            if (key[1] == key[2] or sides[0] and sides[1]) and len(rows) > 1:
+                node, label = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+                a, b = similar_rows([np.frombuffer(r[2], np.uint64) for r in rows], label, len(sides[0]) if key[1] != key[2] else 0, least)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for batch in batches:
+            for f, low, high, side, *row in zip(*(batch.column(c).to_pylist() for c in (*by, "second", "node", "label", "shingles")), strict=True):
+                if (f, low, high) != key:
+                    if key:
+                        yield from group()
+                    key, sides = (f, low, high), ([], [])
+                sides[side].append(row)
+        if key:
+            yield from group()
+
+    return arrow_map(met.repartition(tasks, *by).sortWithinPartitions(*by), compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,3 +45,46 @@ def test_one_row_of_each(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.text for r in near_copies.one_of_each(df).collect()) == sorted({t for i, t in rows if t != long + " end"})
     assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_a_group_of_many_similar_texts(spark, monkeypatch):
+    """Copies of one text, each with other words changed, of which most pairs are a little below the bound: no step makes the pairs."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in range(150):
+        w = [f"base{i}" for i in range(1000)]
+        for at in rng.choice(1000, 12 + n % 3, replace=False):
+            w[at] = f"other{n}x{at}"
+        texts.append(" ".join(w))
+    want, made, table = slow(texts), {}, near_copies.table
+
+    def counted(df, label):
+        out = table(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "table", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.one_of_each(df).collect()) == sorted(set(want)) and 1 < len(set(want)) < 100
+    assert made["near-second"] < 4 * len(texts) and made["near-2-verified"] < len(texts)
+    monkeypatch.setattr(near_copies, "CHUNK", 16)
+    assert sorted(r.doc_id for r in near_copies.one_of_each(df).collect()) == sorted(set(want))
+
+
+def test_similar_rows():
+    rng = np.random.default_rng(8)
+    for n, first in ((60, 0), (60, 25), (2, 1)):
+        sets = [np.unique(rng.choice(30, int(rng.integers(1, 28))).astype(np.uint64)) for _ in range(n)]
+        label = rng.integers(0, n, n)
+        pairs = {(i, j) for i in range(n) for j in range(i) if not first or j < first <= i}
+        same = [(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
+        a, b = near_copies.similar_rows(sets, label, first, 0.5)
+        assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} <= set(same)
+
+        def parts(links):
+            of = label.tolist()
+            for i, j in links:
+                of = [of[i] if x == of[j] else x for x in of]
+            return {frozenset(k for k in range(n) if of[k] == x) for x in of}
+
+        assert parts(zip(a, b, strict=True)) == parts(same) and len(a) < len(set(label.tolist()))
