@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix-filter candidates, verified set against set.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles: fingerprints linked by bit planes (simhash.py), then prefix-filter candidates for what these miss, all verified set against set.
 
 Shingles: lower-case A-Z, words [^\\x20\\x09-\\x0D]+, `k` words joined by a space, as a set of
 64-bit hashes; fewer than k words make one shingle, none an empty set. Documents of equal
@@ -9,8 +9,11 @@ only first, then by hash. Two sets of similarity `least` or more share one of th
 n - ceil(least * n) + 1 of the n shingles of each. The single ones among these meet nothing
 and aren't sent, so that most documents send nothing.
 
-Links: first each shingle's most central set, that with the smallest share of shingles of
-its own, is held against all others that sent it; what that links has one label. Then
+Links: sets that send any have a fingerprint, the bits that over half of the set's hashes
+have. Those at most RADIUS bits apart are candidates, and so are sets of equal ones; but no
+radius holds for a similarity, so that the prefix filter has to find the rest. For that
+each shingle's most central set, that with the smallest share of shingles of
+its own, is held against all others that sent it; what both link has one label. Then
 labels are one family if sets of theirs share a sent shingle and could reach `least` by
 their sizes, by the shingle's places and by a bound on what they have in common, from
 counts in 128 classes of hashes. Each set of a family's labels comes once to the task that
@@ -35,10 +38,13 @@ from pyspark.sql import functions as F
 
 from . import rolling, sketch
 from .common import arrow_map, table
-from .simhash import _LOWER, components
+from .simhash import _LOWER, components, majority
+from .simhash import links as close
 
 #: Bytes of text to a shingle, about; only the sketch's size depends on it.
 SHINGLE_BYTES = 6
+#: Bits that fingerprints of candidates differ in at most, and the bands that they are blocked by.
+RADIUS, RADIUS_BANDS = 4, 6
 #: Rows of a shingle that are held against one at once.
 ROWS = 1 << 14
 #: A family of more sets, or bytes of sets, is compared in chunks.
@@ -67,6 +73,20 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set, as a signed long."""
+    return int(np.uint64(majority(len(s), lambda at, to: s[at:to])).view(np.int64))
+
+
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes (node, fp) of equal fingerprints or ones at most RADIUS bits apart, as many as join all of these."""
+    first = table(prints.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
+    equal = prints.join(first, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = close(first.select("fp"), RADIUS, RADIUS_BANDS, join_only=True)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def signature(s: np.ndarray) -> bytes:
     """How many shingles fall into each of 128 classes, 255 for as many or more: what two sets have in common is at most the sum of the smaller counts."""
     return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128), 255).astype(np.uint8).tobytes()
@@ -84,7 +104,7 @@ def _could(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 
 
 def links(rows: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], least: float) -> DataFrame:
-    """a, b: pairs of nodes of `rows` (node, n, single, sent, sig) that connect all pairs of similarity `least` or more. sets_of gives the table of (node, shingles) for a column of nodes."""
+    """a, b: pairs of nodes of `rows` (node, n, single, sent, sig, fp) that connect all pairs of similarity `least` or more. sets_of gives the table of (node, shingles) for a column of nodes."""
     spark = rows.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -107,7 +127,9 @@ def links(rows: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], least
     met = sent.join(hubs, "h")
     common = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("hub_place")) + F.least("place", "hub_place")
     could = common >= F.lit(least) * (F.col("n") + F.col("m") - common) - F.lit(1e-6)
-    first = table(met.where("node != hub").where(could).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-first")
+    first = met.where("node != hub").where(could).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    found = fingerprint_links(table(rows.where("fp is not null").select("node", "fp").distinct(), "near-fingerprints"))
+    first = table(first.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
 
     def promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,18 +279,18 @@ def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "
 
     def summed_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for t in b.column("text"):
                 s = shingles(t.as_py(), k)
                 shared = repeats(s)
                 single = len(s) - int(shared.sum())
                 sent = s[shared][: max(0, len(s) - fewest(len(s), least) + 1 - single)]
-                for values, x in zip(cols, (node_of(s), len(s), single, sent.tobytes(), signature(s) if len(sent) else None), strict=True):
+                for values, x in zip(cols, (node_of(s), len(s), single, sent.tobytes(), signature(s) if len(sent) else None, fingerprint(s) if len(sent) else None), strict=True):
                     values.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), *(pa.array(x, to) for x, to in zip(cols, kinds, strict=True))], names=["id", "key", "node", "n", "single", "sent", "sig"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), *(pa.array(x, to) for x, to in zip(cols, kinds, strict=True))], names=["id", "key", "node", "n", "single", "sent", "sig", "fp"])
 
-    found = table(arrow_map(d, summed_up, f"id {kind}, key long, node long, n int, single int, sent binary, sig binary"), "near-rows")
+    found = table(arrow_map(d, summed_up, f"id {kind}, key long, node long, n int, single int, sent binary, sig binary, fp long"), "near-rows")
     repeats.done()
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     nodes = table(found.groupBy("node").agg(F.min(order).alias("least")), "near-nodes")

@@ -22,7 +22,7 @@ rows it is linked to (null if none has an id); an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -53,11 +53,15 @@ def fingerprint(text: str | None, k: int = 3) -> int:
         return digest(joined, SEED)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
     starts, stops = [0, *(g + 1 for g in gaps[: len(words) - k])], [*gaps[k - 1 :], len(joined)]
+    return majority(len(starts), lambda at, to: np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to], stops[at:to], strict=True)], "<u8"))
+
+
+def majority(n: int, hashes: Callable[[int, int], np.ndarray]) -> int:
+    """The bits that over half of n hashes have; hashes(at, to) gives some of them."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), BLOCK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(starts)).tolist()))
+    for at in range(0, n, BLOCK):
+        ones += np.unpackbits(hashes(at, at + BLOCK).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
 def fingerprints(docs: DataFrame, k: int = 3, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -169,12 +173,25 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """a, b of all pairs of different fingerprints (a column fp, distinct) at most `radius` bits apart."""
-    if not 0 <= radius < BANDS:
-        raise ValueError(f"the radius has to be from 0 to {BANDS - 1}")
-    width = 64 // BANDS
-    masks = [sum(((1 << width) - 1) << width * i for i in chosen) for chosen in combinations(range(BANDS), BANDS - radius)]
+def joining(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs of rows (of n) to keep, fewer than n, so that they join what all do."""
+    order = np.argsort(left, kind="stable")
+    label, keep = np.arange(n), [np.zeros(0, np.int64)]
+    for some in np.split(order, np.flatnonzero(np.diff(left[order])) + 1):
+        if len(some):
+            own = label[left[some[0]]]
+            others, at = np.unique(label[right[some]], return_index=True)
+            keep.append(some[at[others != own]])
+            label[np.isin(label, others)] = own
+    return np.concatenate(keep)
+
+
+def links(fps: DataFrame, radius: int = 2, bands: int = BANDS, join_only: bool = False) -> DataFrame:
+    """a, b of all pairs of different fingerprints (a column fp, distinct) at most `radius` bits apart; join_only: of groups over SMALL only as many pairs as join them."""
+    if not 0 <= radius < bands:
+        raise ValueError(f"the radius has to be from 0 to {bands - 1}")
+    width = 64 // bands
+    masks = [sum(((1 << width) - 1) << width * i for i in chosen) for chosen in combinations(range(bands), bands - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)]))
     keyed = table(fps.select("fp", keys.alias("k")).select("fp", "k.choice", "k.value"), "simhash-keys")
@@ -204,6 +221,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             else:
                 a, b = (np.array(x, np.int64).view(np.uint64) for x in sides)
                 i, j = close_pairs(a, None if key[2] == key[3] else b, radius)
+                if join_only:
+                    some = joining(i, j if key[2] == key[3] else j + len(a), len(a) + len(b))
+                    i, j = i[some], j[some]
                 yield from pairs(a[i], (a if key[2] == key[3] else b)[j])
 
         for batch in batches:

@@ -88,3 +88,25 @@ def test_similar_rows():
             return {frozenset(k for k in range(n) if of[k] == x) for x in of}
 
         assert parts(zip(a, b, strict=True)) == parts(same) and len(a) < len(set(label.tolist()))
+
+
+def test_fingerprints_link_sets(spark):
+    """The stage's SimHash: fingerprints by the definition, and links that join what all close pairs do."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**63, 400, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[n % 3][int(rng.integers(0, 12)) :], rng.integers(0, 2**63, 3, dtype=np.uint64)])) for n in range(240)]
+    want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s.tolist()) > len(s)) for s in sets]
+    got = [near_copies.fingerprint(s) for s in sets]
+    assert [x % 2**64 for x in got] == want
+    rows = spark.createDataFrame(list(enumerate(got)), "node long, fp long")
+    pairs = [(r.a, r.b) for r in near_copies.fingerprint_links(rows).collect()]
+
+    def parts(links):
+        of = list(range(len(sets)))
+        for i, j in links:
+            of = [of[i] if x == of[j] else x for x in of]
+        return {frozenset(k for k in range(len(sets)) if of[k] == x) for x in of}
+
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if (want[i] ^ want[j]).bit_count() <= near_copies.RADIUS]
+    assert all((want[i] ^ want[j]).bit_count() <= near_copies.RADIUS for i, j in pairs)
+    assert parts(pairs) == parts(near) and len(near) > 1000
