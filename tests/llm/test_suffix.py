@@ -94,3 +94,23 @@ def test_short_stretches_of_a_run_elsewhere(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(df, length=40).collect()}
     assert got == dict(enumerate(slow(texts, 40)))
+
+
+def test_planted_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+    sizes = [360, 380, 399, 400, 401, 420, 700]
+    texts, want = [], []
+    for n in sizes:
+        passage = (" " + words(n // 6))[: n - 1] + " "
+        assert len(passage) == n and len(passage.split()) > 50
+        for mark in "XY":
+            rest = (words(90) + mark, mark + words(90))
+            texts.append(passage.join(rest))
+            kept = "".join(rest) if n >= 400 else texts[-1]
+            want.append((len(texts[-1]), n if n >= 400 else 0, int(n >= 400), hashlib.sha256(kept.encode()).hexdigest()))
+    texts += [words(200) for _ in range(10)]
+    want += [(len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for t in texts[len(want) :]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(df).collect()}
+    assert got == dict(enumerate(want))
